@@ -21,15 +21,23 @@ SPACE_SET = (
     r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-SPACES = f"[{SPACE_SET}]+"
+# The complement of that set, commonest characters first: a letter is ruled out
+# by the first range, which makes matching several times faster.
+NON_SPACE_SET = (
+    r"\x{21}-\x{84}\x{86}-\x{9f}\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}"
+    r"\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}\x{0}-\x{8}\x{e}-\x{1b}"
+)
+SPACE = f"[^{NON_SPACE_SET}]"
+NON_SPACE = f"[{NON_SPACE_SET}]"
+SPACES = f"{SPACE}+"
 WORD_CHARS = r"\p{L}\p{N}_"
-HEADER_BODY = rf"(?:^|[{SPACE_SET}]{{4,}}|\n)[\p{{Nd}}.#]{{0,4}}[{SPACE_SET}]*([A-Z][A-z0-9/ ]+[A-z]:)"
+HEADER_BODY = rf"(?:^|{SPACE}{{4,}}|\n)[\p{{Nd}}.#]{{0,4}}{SPACE}*([A-Z][A-z0-9/ ]+[A-z]:)"
 HEADER = "(?dm)" + HEADER_BODY
 SENTENCE_BREAK = (
-    rf"(?d)\.[{SPACE_SET}]|\n{{2,}}|^[{SPACE_SET}]{{0,}}\p{{Nd}}{{1,2}}[{SPACE_SET}]{{0,}}[-).][{SPACE_SET}]{{1,}}"
+    rf"(?d)\.{SPACE}|\n{{2,}}|^{SPACE}{{0,}}\p{{Nd}}{{1,2}}{SPACE}{{0,}}[-).]{SPACE}{{1,}}"
 )
 DEID_SPAN = r"(?d)\[\*\*.*?\*\*\]"
-DEID_WRAP = rf"_%#([^{SPACE_SET}]+)#%_"
+DEID_WRAP = rf"_%#({NON_SPACE}+)#%_"
 JOINERS = r"[_*?/()]+"
 NUMBER = r"(?U)\b(-)?[\d.,]+(-)?\b"
 # Symbols that stay out of the stop-word set, and extras that join it.
@@ -121,7 +129,7 @@ def eval_tokenize(text: Column, blacklist: Sequence[str] = (), unique_only: bool
 
 
 def _pseudo_token(prefix: str, name: Column) -> Column:
-    return F.concat(F.lit(prefix), F.upper(F.regexp_replace(name, f"[:{SPACE_SET}]+", "")))
+    return F.concat(F.lit(prefix), F.upper(F.regexp_replace(name, f"(?::|{SPACE})+", "")))
 
 
 def section_token(name: Column) -> Column:
@@ -159,7 +167,7 @@ def note_pieces(text: Column, compat: bool = False) -> Column:
         split_keeping(text, HEADER),
         lambda piece, i: F.struct((i % 2 == 1).alias("is_header"), piece.alias("body")),
     )
-    parts = F.filter(parts, lambda p: p["body"].rlike(f"[^{SPACE_SET}]"))
+    parts = F.filter(parts, lambda p: p["body"].rlike(NON_SPACE))
     if compat:
         starts = rf"(?dm)\A{HEADER_BODY}"
         parts = F.transform(
@@ -204,7 +212,7 @@ def drop_adjacent_duplicates(tokens: Column) -> Column:
 
 def clean_long_form(lf: Column, sf: Column) -> Column:
     """Lower-cased, sorted, distinct synonyms without noise phrases and the short form itself."""
-    noise = rf"[{SPACE_SET}]+[(]?(" + "|".join(LF_NOISE_PHRASES) + r")[)]?"
+    noise = rf"{SPACES}[(]?(" + "|".join(LF_NOISE_PHRASES) + r")[)]?"
     low_sf = F.lower(sf)
     parts = F.transform(
         F.split(F.lower(lf), ";"),

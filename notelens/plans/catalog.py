@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from notelens.plans import text_queries  # noqa: F401
+from notelens.plans import stream_queries, text_queries  # noqa: F401
 from notelens.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from notelens.functions import text as tx
 from notelens.operators import vocabulary as vo
 from notelens.operators.scale import first_k_in_group, stage
-from notelens.plans.registry import table
+from notelens.plans.registry import documents
 
 HEADER_NAMES = [
     "Chief Complaint", "HISTORY", "Social History", "Family History", "HISTORY OF ILLNESS", "Physical Exam",
@@ -37,7 +37,7 @@ def _line_prefix(doc_id: Column, line_no: Column) -> Column:
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     lines = F.transform(
         F.split("text", "\n"), lambda line, i: F.concat(_line_prefix(F.col("doc_id"), i), line)
     )
@@ -46,7 +46,7 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
 
 def corpus_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of the documents with some of them blanked, runs of blanks included."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     blank = ((F.col("line_no") + F.col("doc_id")) % 5 == 4) | ((F.col("line_no") + F.col("doc_id")) % 11 >= 8)
     return docs.select("doc_id", line).withColumn("line", F.when(blank, F.lit(" ")).otherwise(F.col("line")))
@@ -86,7 +86,7 @@ def senses(spark: SparkSession, sf: str) -> DataFrame:
     The ten most frequent pairs of a short form make up to five long forms of
     one or two synonyms each.
     """
-    words = table(spark, sf, "documents").select(F.split(F.lower("text"), tx.SPACES).alias("w"))
+    words = documents(spark, sf).select(F.split(F.lower("text"), tx.SPACES).alias("w"))
     pairs = F.filter(
         tx.let(F.col("w"), lambda w: F.transform(w, lambda a, i: F.concat_ws(" ", a, F.get(w, i + 1)))),
         lambda p: p.rlike("^[a-z]+ [a-z]+$"),

@@ -20,7 +20,7 @@ def u(*keys: str, seed: int | str) -> str:
 
 
 SP = f"[{tx.SPACE_SET}]"
-HEADER = "(?m)" + tx.HEADER_BODY
+HEADER = rf"(?m)(?:^|{SP}{{4,}}|\n)[\p{{Nd}}.#]{{0,4}}{SP}*([A-Z][A-z0-9/ ]+[A-z]:)"
 PUNCT = quote(tx.PUNCTUATION)
 
 

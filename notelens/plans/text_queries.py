@@ -9,7 +9,7 @@ from notelens.operators import vocabulary as vo
 from notelens.operators.scale import lookup_join, sized, stage
 from notelens.plans import fixtures as fx
 from notelens.plans import sql as s
-from notelens.plans.registry import register, table
+from notelens.plans.registry import documents, register, table
 
 
 @register("t01_section_headers", s.with_(
@@ -36,7 +36,7 @@ def split_keeping(spark, sf):
 
 @register("t03_clean_text", f"SELECT doc_id, {s.clean('text')} AS cleaned FROM documents")
 def clean_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.clean(F.col("text")).alias("cleaned"))
+    return documents(spark, sf).select("doc_id", tx.clean(F.col("text")).alias("cleaned"))
 
 
 @register("t04_unwrap_deid", f"""
@@ -44,7 +44,7 @@ SELECT doc_id, regexp_replace(regexp_replace(text, '([A-Za-z]+)', '_%#\\1#%_', '
   AS unwrapped FROM documents""")
 def unwrap_deid(spark, sf):
     wrapped = F.regexp_replace("text", "([A-Za-z]+)", "_%#$1#%_")
-    return table(spark, sf, "documents").select("doc_id", tx.unwrap_deid(wrapped).alias("unwrapped"))
+    return documents(spark, sf).select("doc_id", tx.unwrap_deid(wrapped).alias("unwrapped"))
 
 
 @register("t05_word_tokens", f"""
@@ -52,7 +52,7 @@ SELECT doc_id, len(w)::BIGINT AS n, array_to_string(w, ' ') AS tokens
 FROM (SELECT doc_id, {s.words('text', fx.STOPS)} AS w FROM documents)""")
 def word_tokens(spark, sf):
     tokens = tx.tokenize(F.col("text"), fx.STOPS)
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.size(tokens).cast("bigint").alias("n"), F.array_join(tokens, " ").alias("tokens")
     )
 
@@ -69,7 +69,7 @@ SELECT word FROM (
   EXCEPT SELECT unnest({s.str_list(tx.MATH_SYMBOLS)})) EXCEPT SELECT unnest({s.str_list(tx.PREPOSITIONS)})""")
 def stop_words(spark, sf):
     frequent = (
-        table(spark, sf, "documents").select(F.explode(tx.tokenize(F.col("text"))).alias("word"))
+        documents(spark, sf).select(F.explode(tx.tokenize(F.col("text"))).alias("word"))
         .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 50)
     )
     kept = spark.range(1).select(F.explode(tx.words_array(tx.PREPOSITIONS)).alias("word"))
@@ -165,7 +165,7 @@ FROM (SELECT doc_id, {s.words(s.clean(f"regexp_replace(text, '_%#([^{tx.SPACE_SE
 def eval_tokens(spark, sf):
     tokens = tx.eval_tokenize(F.col("text"), _EVAL_BAN)
     unique = tx.eval_tokenize(F.col("text"), _EVAL_BAN, unique_only=True)
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.size(tokens).cast("bigint").alias("n"), F.array_join(tokens, " ").alias("tokens"),
         F.size(unique).cast("bigint").alias("n_unique"),
     )
@@ -175,7 +175,7 @@ def eval_tokens(spark, sf):
 SELECT doc_id, array_to_string(list_filter(w, lambda t, i: i = 1 OR t <> w[i - 1]), ' ') AS letters
 FROM (SELECT doc_id, list_transform({s.words('text')}, lambda t: substr(t, 1, 1)) AS w FROM documents)""")
 def adjacent_duplicates(spark, sf):
-    letters = table(spark, sf, "documents").select(
+    letters = documents(spark, sf).select(
         "doc_id", F.transform(tx.tokenize(F.col("text")), lambda t: F.substring(t, 1, 1)).alias("letters")
     )
     return letters.select("doc_id", F.array_join(tx.drop_adjacent_duplicates(F.col("letters")), " ").alias("letters"))
@@ -194,7 +194,7 @@ SELECT doc_id, count(*) AS n, count(DISTINCT entry) AS n_distinct, max(entry) AS
     FROM (SELECT doc_id, regexp_split_to_array(text, '{s.SP}+') AS w FROM documents))))
 GROUP BY doc_id""")
 def standard_entries(spark, sf):
-    entries = table(spark, sf, "documents").select(
+    entries = documents(spark, sf).select(
         "doc_id", F.posexplode(F.split("text", tx.SPACES)).alias("item", "word")
     ).select("doc_id", F.expr("CASE WHEN item % 9 = 0 THEN ' [CLS] ' ELSE concat(' ', word, char(9)) END").alias("e"))
     standard = entries.select("doc_id", tx.standardize_entry(F.col("e"), _SPECIAL).alias("entry"))
