@@ -21,18 +21,18 @@ SPACE_SET = (
     r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-# The complement of that set, commonest characters first: a letter is ruled out
-# by the first range, which makes matching several times faster.
-NON_SPACE_SET = (
-    r"\x{21}-\x{84}\x{86}-\x{9f}\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}"
-    r"\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}\x{0}-\x{8}\x{e}-\x{1b}"
-)
-SPACE = f"[^{NON_SPACE_SET}]"
-NON_SPACE = f"[{NON_SPACE_SET}]"
+# Most characters fail the first, cheap half of the intersection below, which
+# makes matching about twice as fast as the plain set.
+SPACE = r"[\x{0}-\x{20}\x{7f}-\x{3000}&&[" + SPACE_SET + "]]"
+NON_SPACE = f"[^{SPACE_SET}]"
 SPACES = f"{SPACE}+"
+# A noncharacter of Unicode, which is reserved for marks inside a process.
+GUARD = "\ufdd0"
 WORD_CHARS = r"\p{L}\p{N}_"
 HEADER_BODY = rf"(?:^|{SPACE}{{4,}}|\n)[\p{{Nd}}.#]{{0,4}}{SPACE}*([A-Z][A-z0-9/ ]+[A-z]:)"
 HEADER = "(?dm)" + HEADER_BODY
+# The same with the characters ahead of the name inside the group.
+HEADER_WHOLE = "(?dm)(" + HEADER_BODY.replace("([A-Z]", "[A-Z]").replace(":)", ":") + ")"
 SENTENCE_BREAK = (
     rf"(?d)\.{SPACE}|\n{{2,}}|^{SPACE}{{0,}}\p{{Nd}}{{1,2}}{SPACE}{{0,}}[-).]{SPACE}{{1,}}"
 )
@@ -99,12 +99,15 @@ def split_keeping(text: Column, pattern: str) -> Column:
     )
 
 
-def clean(text: Column) -> Column:
-    """De-identified spans and joiners to spaces, numbers to one marker, spaces collapsed."""
+def clean(text: Column, collapse: bool = True) -> Column:
+    """De-identified spans and joiners to spaces, numbers to one marker, spaces collapsed.
+
+    Text that is split into words next may keep its runs of spaces.
+    """
     out = F.regexp_replace(text, DEID_SPAN, " ")
     out = F.regexp_replace(out, JOINERS, " ")
     out = F.regexp_replace(out, NUMBER, f" {DIGIT_TOKEN} ")
-    return F.regexp_replace(out, SPACES, " ")
+    return F.regexp_replace(out, SPACES, " ") if collapse else out
 
 
 def unwrap_deid(text: Column) -> Column:
@@ -117,14 +120,13 @@ def tokenize(text: Column, stopwords: Sequence[str] = ()) -> Column:
     stripped = F.transform(F.split(F.lower(text), SPACES), lambda w: F.btrim(w, F.lit(PUNCTUATION)))
     if not stopwords:
         return F.filter(stripped, lambda w: w != "")
-    stops = words_array(stopwords)
-    return F.filter(stripped, lambda w: (w != "") & ~F.array_contains(stops, w))
+    return F.filter(stripped, lambda w: ~w.isin(["", *stopwords]))
 
 
 def eval_tokenize(text: Column, blacklist: Sequence[str] = (), unique_only: bool = False) -> Column:
     """Tokens of an evaluation sentence, without the blacklist and the number marker."""
     banned = list(blacklist) + [DIGIT_TOKEN.lower()]
-    tokens = tokenize(clean(unwrap_deid(text)), banned)
+    tokens = tokenize(clean(unwrap_deid(text), collapse=False), banned)
     return F.array_distinct(tokens) if unique_only else tokens
 
 
@@ -163,8 +165,9 @@ def note_pieces(text: Column, compat: bool = False) -> Column:
     ``compat`` a piece counts as a header whenever it *starts* like one, which
     also claims bodies that open with a second header-like phrase.
     """
+    marked = F.regexp_replace(F.replace(text, F.lit(GUARD), F.lit("")), HEADER, f"{GUARD}$1{GUARD}")
     parts = F.transform(
-        split_keeping(text, HEADER),
+        F.split(marked, GUARD, -1),
         lambda piece, i: F.struct((i % 2 == 1).alias("is_header"), piece.alias("body")),
     )
     parts = F.filter(parts, lambda p: p["body"].rlike(NON_SPACE))
@@ -199,7 +202,7 @@ def sentence_tokens(text: Column, stopwords: Sequence[str] = ()) -> Column:
                 found,
                 lambda s, i: F.concat(
                     F.when((i > 0) & (i < F.size(found) - 1), F.array(mark)).otherwise(nothing),
-                    tokenize(clean(s), stopwords),
+                    tokenize(clean(s, collapse=False), stopwords),
                 ),
             )
         ),

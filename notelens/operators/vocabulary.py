@@ -46,7 +46,7 @@ def tokenize_notes(
     known = sections.select(F.col("section").alias("name"), F.col("count").alias("seen"))
     pieces = lookup_join(pieces, known, "name", "left", weight="seen")
     body = F.col("body")
-    words = tx.tokenize(tx.clean(body), stopwords)
+    words = tx.tokenize(tx.clean(body, collapse=False), stopwords)
     running = tx.sentence_tokens(body, stopwords) if split_sentences else words
     nothing = tx.words_array(())
     tokens = (
