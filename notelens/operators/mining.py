@@ -258,10 +258,11 @@ def paragraph_contexts(docs: DataFrame, chosen: DataFrame, size: int = 1) -> Dat
         lone = lambda w: (F.length(w) == 1) & ~w.rlike(r"^[\p{L}\p{N}]$")
         drop = lambda ws, i, test: F.when(F.coalesce(test(F.get(ws, i)), F.lit(False)), 1).otherwise(0)
         empty = lambda w: w == ""
-        for test in (lone, empty):
-            out = let(out, lambda ws, t=test: F.slice(ws, drop(ws, F.lit(0), t) + 1, F.size(ws)))
-        for test in (lone, empty):
-            out = let(out, lambda ws, t=test: F.slice(ws, 1, F.greatest(F.size(ws) - drop(ws, F.size(ws) - 1, t), F.lit(0))))
+        head = lambda test: lambda ws: F.slice(ws, drop(ws, F.lit(0), test) + 1, F.size(ws))
+        tail = lambda test: lambda ws: F.slice(
+            ws, 1, F.greatest(F.size(ws) - drop(ws, F.size(ws) - 1, test), F.lit(0)))
+        for cut in (head(lone), head(empty), tail(lone), tail(empty)):
+            out = let(out, cut)
         return out
 
     def blanks(ws: Column) -> Column:

@@ -295,3 +295,22 @@ def stop_words(stops: DataFrame, kept: DataFrame) -> DataFrame:
     extra = spark.range(1).select(F.explode(tx.words_array(marks)).alias("word"))
     out = stops.select("word").union(extra).distinct()
     return out.where(~F.col("word").isin(tx.MATH_SYMBOLS)).join(kept.select("word").distinct(), "word", "left_anti")
+
+
+def long_form_tokens(senses: DataFrame, blacklist: Sequence[str], vocab: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """``(lf, token, rank)``: the words of all synonyms of a sense, at most ``most``, commonest first.
+
+    Blacklisted words and words outside ``vocab`` count only when nothing else is left.
+    """
+    synonym = F.explode(F.split("lf", ";")).alias("synonym")
+    words = senses.select("lf").distinct().select("lf", synonym).select("lf", F.explode(tx.tokenize(F.col("synonym"))).alias("token"))
+    counted = words.groupBy("lf", "token").agg(F.count(F.lit(1)).alias("n"))
+    good = ~F.col("token").isin(list(blacklist) or [""])
+    if vocab is not None:
+        counted = lookup_join(counted, vocab.select("token", F.col("id").alias("_id")), "token", "left")
+        good = good & F.col("_id").isNotNull()
+    counted = counted.withColumn("good", good)
+    by_lf = Window.partitionBy("lf")
+    usable = counted.withColumn("any_good", F.max("good").over(by_lf)).where(F.col("good") | ~F.col("any_good"))
+    rank = F.row_number().over(by_lf.orderBy(F.desc("n"), "token"))
+    return usable.withColumn("rank", rank).where(F.col("rank") <= most).select("lf", "token", "rank")

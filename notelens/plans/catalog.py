@@ -1,7 +1,7 @@
 """All registered queries; importing the modules registers them."""
 
 from notelens.plans import text_queries  # noqa: F401  isort: skip
-from notelens.plans import mining_queries, stream_queries  # noqa: F401
+from notelens.plans import labelled_queries, mining_queries, scoring_queries, stream_queries  # noqa: F401
 from notelens.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
