@@ -18,6 +18,7 @@ from notelens.functions import text as tx
 from notelens.functions.hashing import uniform
 from notelens.functions.text import let
 from notelens.operators.scale import fits_broadcast, first_k_in_group, rank_in_group, sized, stage
+from notelens.sources.spread import spread
 
 SEGMENTS = rf"[{tx.WORD_CHARS}]+|[^{tx.WORD_CHARS}]+"
 
@@ -380,7 +381,7 @@ def tokenize_with_headers(contexts: DataFrame, sections: DataFrame, key: str = "
     Names are found by the dictionary scan, longest first. A header directly
     before another header goes, and so do adjacent equal tokens.
     """
-    docs = contexts.select(F.col(key).alias("doc_id"), "text")
+    docs = spread(contexts.select(F.col(key).alias("doc_id"), "text"), "doc_id")
     entries = stage(header_entries(sections), "header-entries")
     chosen = choose(scan(docs, entries, within_last=":")).select("doc_id", "kept")
     both = docs.select("doc_id", tx.split_spaces(F.col("text")).alias("words")).join(chosen, "doc_id", "left")
