@@ -183,7 +183,11 @@ def word_contexts(docs: DataFrame, chosen: DataFrame, size: int = 20, compat: bo
     start does.
     """
     per_doc = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("lf", "kept")).alias("found"))
-    both = docs.select("doc_id", "category", tx.split_spaces(F.col("text")).alias("words")).join(per_doc, "doc_id")
+    # white space at an end of the text hides a lone symbol there from trimming
+    both = docs.select(
+        "doc_id", "category", tx.split_spaces(F.col("text")).alias("words"),
+        F.col("text").rlike(rf"\A{tx.SPACE}").alias("open_head"), F.col("text").rlike(rf"{tx.SPACE}\z").alias("open_tail"),
+    ).join(per_doc, "doc_id")
 
     def one(words: Column, lf: Column, p: Column) -> Column:
         end = p["at"] + p["n_words"] - 1
@@ -194,9 +198,9 @@ def word_contexts(docs: DataFrame, chosen: DataFrame, size: int = 20, compat: bo
         some = lambda w: F.when(w != "", F.array(w)).otherwise(tx.words_array(()))
         start = F.lit(0) if compat else F.greatest(p["at"] - (size + 2), F.lit(0))
         left = F.concat(F.slice(words, start + 1, p["at"] - start), some(left_part))
-        left = _trim(left, start == 0, True)
+        left = _trim(left, (start == 0) & ~F.col("open_head"), True)
         right_all = F.slice(words, end + 2, size + 2)
-        right = _trim(F.concat(some(right_part), right_all), True, end + size + 3 >= F.size(words))
+        right = _trim(F.concat(some(right_part), right_all), True, (end + size + 3 >= F.size(words)) & ~F.col("open_tail"))
         if compat:
             cut = lambda ws: F.when(F.size(ws) >= size, F.size(ws) - size).otherwise(
                 F.greatest(2 * F.size(ws) - size, F.lit(0)))
@@ -277,8 +281,12 @@ def paragraph_contexts(docs: DataFrame, chosen: DataFrame, size: int = 1) -> Dat
         return let(blanks(ws), lambda b: F.slice(ws, 1, F.when(F.size(b) == 0, F.size(ws)).otherwise(
             F.get(b, F.when(F.size(b) > size, F.lit(size - 1)).otherwise(F.size(b) - 1)))))
 
-    def one(lf: Column, p: Column) -> Column:
+    def one(lf: Column, p: Column, before: Column) -> Column:
         end = p["at"] + p["n_words"]
+        # the hit before may have taken the white space ahead of this one; its line ends then stay on the left
+        taken = F.coalesce(
+            (before["at"] + before["n_words"] == p["at"]) & (p["first"] == 0)
+            & (before["last"] == F.size(_segments(F.get("words", p["at"] - 1)))), F.lit(False))
         head_seg = _segments(F.get("words", p["at"]))
         tail_seg = _segments(F.get("words", end - 1))
         left_part = F.array_join(F.slice(head_seg, 1, p["first"]), "")
@@ -288,7 +296,8 @@ def paragraph_contexts(docs: DataFrame, chosen: DataFrame, size: int = 1) -> Dat
 
         def left_lines(rows: Column) -> Column:
             n = F.size(rows)
-            return F.when(left_part == "", rows).when(opens(p["at"]) | (n == 0), F.concat(
+            return F.when(taken & opens(p["at"]), F.concat(
+                rows, F.array_repeat(F.lit(""), blank_lines(p["at"]) + 1))).when(left_part == "", rows).when(opens(p["at"]) | (n == 0), F.concat(
                 rows, F.array_repeat(F.lit(""), blank_lines(p["at"])), some(left_part))).otherwise(
                 F.concat(F.slice(rows, 1, F.greatest(n - 1, F.lit(0))), F.array(glue(F.get(rows, n - 1), left_part))))
 
@@ -306,7 +315,8 @@ def paragraph_contexts(docs: DataFrame, chosen: DataFrame, size: int = 1) -> Dat
         """Blank lines right ahead of the line that opens with ``word``."""
         return F.greatest(F.size(F.filter("starts", lambda x: x == word)) - 1, F.lit(0))
 
-    rows = F.flatten(F.transform("found", lambda f: F.transform(f["kept"], lambda p: one(f["lf"], p))))
+    rows = F.flatten(F.transform("found", lambda f: F.transform(
+        f["kept"], lambda p, i: one(f["lf"], p, F.get(f["kept"], i - 1)))))
     return both.select("doc_id", F.inline(rows))
 
 

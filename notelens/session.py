@@ -15,6 +15,10 @@ RECOMMENDED = {
 }
 
 
+#: Folders of local sessions that name none.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(app: str = "notelens", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in {**RECOMMENDED, **conf}.items():
@@ -34,6 +38,7 @@ def stage_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can read")
-    folder = tempfile.mkdtemp(prefix="notelens-stage-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="notelens-stage-")
+    return _LOCAL_FOLDERS[application]
