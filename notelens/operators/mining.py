@@ -250,11 +250,13 @@ def paragraph_contexts(docs: DataFrame, chosen: DataFrame, size: int = 1) -> Dat
     nsp = tx.NON_SPACE
     some = lambda w: F.when(w != "", F.array(w)).otherwise(tx.words_array(()))
 
-    def cut_lines(low: Column, high: Column) -> Column:
-        """Words ``low`` to ``high`` (exclusive) as lines, from the line of the first to that of the last word."""
+    def cut_lines(low: Column, high: Column, is_left: bool) -> Column:
+        """Words ``low`` to ``high`` (exclusive) as lines; blank lines at the end of the text away from the hit stay."""
+        blank_from = (lambda s: s >= low) if is_left else (lambda s: s > low)
+        blank_to = (lambda s: s < high) if is_left else (lambda s: s <= high)
         inside = F.filter(
             F.transform("sizes", lambda n, i: F.struct(F.get("starts", i).alias("s"), (F.get("starts", i) + n).alias("e"))),
-            lambda x: (x["e"] > low) & (x["s"] < high) | ((x["s"] == x["e"]) & (x["s"] > low) & (x["s"] < high)),
+            lambda x: (x["e"] > low) & (x["s"] < high) | ((x["s"] == x["e"]) & blank_from(x["s"]) & blank_to(x["s"])),
         )
         return F.transform(inside, lambda x: F.array_join(F.slice(
             "words", F.greatest(x["s"], low) + 1, F.greatest(F.least(x["e"], high) - F.greatest(x["s"], low), F.lit(0))), " "))
@@ -307,8 +309,8 @@ def paragraph_contexts(docs: DataFrame, chosen: DataFrame, size: int = 1) -> Dat
                 F.concat(F.array(glue(right_part, F.get(rows, 0))), F.slice(rows, 2, F.size(rows))))
 
         context = F.concat(
-            let(trimmed(let(cut_lines(F.lit(0), p["at"]), left_lines)), left_side), F.array(F.lit(tx.TARGET)),
-            let(trimmed(let(cut_lines(end, F.size("words")), right_lines)), right_side))
+            let(trimmed(let(cut_lines(F.lit(0), p["at"], True), left_lines)), left_side), F.array(F.lit(tx.TARGET)),
+            let(trimmed(let(cut_lines(end, F.size("words"), False), right_lines)), right_side))
         return F.struct(lf.alias("lf"), p["at"].alias("at"), p["first"].alias("first"), F.array_join(context, " ").alias("context"))
 
     def blank_lines(word: Column) -> Column:

@@ -187,7 +187,7 @@ def unused_notes(spark, sf):
 s.define("context_pieces", ("split_examples", "sections"), """
 SELECT doc_id, word_at, lf, i, piece, i % 2 = 1 AS is_header FROM (
   SELECT doc_id, word_at, lf, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (
-    SELECT doc_id, word_at, lf, string_split(regexp_replace(replace(upper(context), 'ß', 'SS'), (
+    SELECT doc_id, word_at, lf, string_split(regexp_replace(upper(replace(context, 'ß', 'SS')), (
       SELECT '\\b(' || string_agg(section, '|' ORDER BY length(section) DESC, section) || '):' FROM sections),
       chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM split_examples))
 WHERE i % 2 = 1 OR trim(piece) <> ''""")
