@@ -39,7 +39,7 @@ MAX_DOMAINS, MARKERS, LEAST_SUPPORT = 64, 6, 20
 EVIDENCE = 30.0
 #: Rounds of the fit at most; it stops when no domain is further than TOLERANCE of all tokens from its target, or moves
 #: less than STALLED of them (targets that no rates can meet).
-ROUNDS, TOLERANCE, STALLED = 40, 1e-5, 1e-6
+ROUNDS, TOLERANCE, STALLED = 40, 1e-5, 1e-4
 OUTPUTS = ("tokens", "posterior", "rate", "copies")
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,23 +113,22 @@ def membership(docs: DataFrame, model: Classifier, text: str = "text") -> DataFr
     body = F.col(text)
     if not model.domains:
         return wide.select(*names, _tokens(body).cast("bigint").alias("tokens"), F.array().cast("array<double>").alias("posterior"))
-    counted = wide.select(*names, _tokens(body).cast("bigint").alias("tokens"), F.array(
-        *[_occurrences(body, w) for w in model.markers], F.lit(0.0)).alias("_counts"))
-    count = [F.get("_counts", F.lit(k)) for k in range(len(model.markers))]
-    marked = sum(count, F.lit(0.0))
-    other = F.greatest(F.lit(0.0), F.col("tokens") - marked)
+    # plain columns: what is read from an array in place would be worked out anew for each reading
+    count = [f"_count{k}" for k in range(len(model.markers))]
+    counted = wide.select(*names, _tokens(body).cast("bigint").alias("tokens"),
+                          *[_occurrences(body, w).alias(c) for w, c in zip(model.markers, count)])
+    other = F.greatest(F.lit(0.0), F.col("tokens") - sum((F.col(c) for c in count), F.lit(0.0)))
     scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.lit(1.0), F.col("tokens").cast("double")))
-    logs = []
-    for prior, share in zip(model.log_prior, model.log_share):
-        terms = [c * F.lit(s) for c, s in zip([*count, other], share)]
-        logs.append(F.lit(prior) + scale * sum(terms[1:], terms[0]))
-    scored = counted.select(*names, "tokens", F.array(*logs).alias("_logs"))
-    top = F.array_max("_logs")
-    masses = [F.exp(F.get("_logs", F.lit(k)) - top) for k in range(len(logs))]
-    massed = scored.select(*names, "tokens", F.array(*masses).alias("_mass"))
-    each = [F.get("_mass", F.lit(k)) for k in range(len(logs))]
-    whole = sum(each[1:], each[0])
-    return massed.select(*names, "tokens", F.array(*[e / whole for e in each]).alias("posterior"))
+    counted = counted.select(*names, "tokens", *count, other.alias("_other"), scale.alias("_scale"))
+    logs = [f"_log{k}" for k in range(len(model.domains))]
+    scored = counted.select(*names, "tokens", *[
+        (F.lit(prior) + F.col("_scale") * sum((F.col(c) * F.lit(s) for c, s in zip([*count, "_other"], share)), F.lit(0.0))).alias(name)
+        for name, prior, share in zip(logs, model.log_prior, model.log_share)])
+    top = F.greatest(*logs) if len(logs) > 1 else F.col(logs[0])
+    massed = scored.select(*names, "tokens", *logs, top.alias("_top"))
+    massed = massed.select(*names, "tokens", *[F.exp(F.col(c) - F.col("_top")).alias(c) for c in logs])
+    summed = massed.select(*names, "tokens", *logs, sum((F.col(c) for c in logs), F.lit(0.0)).alias("_sum"))
+    return summed.select(*names, "tokens", F.array(*[F.col(c) / F.col("_sum") for c in logs]).alias("posterior"))
 
 
 @dataclass
@@ -211,15 +210,17 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dic
 
 def remix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, power: float = 0.7,
           least: float = 0.0, keep_all: bool = False) -> DataFrame:
-    """``docs`` with every row as often as its copies say, in the columns of ``docs``."""
-    model = learn(labelled, domain)
-    members = staged(membership(docs.select("text"), model).select("tokens", "posterior"), "membership")
+    """``docs`` with every row as often as its copies say, in the columns of ``docs``.
+
+    The rows are staged with their posterior, so that no text is read twice or shuffled.
+    """
+    model, names = learn(labelled, domain), docs.columns
+    row = F.struct(*[F.col(n) for n in names])
+    members = staged(membership(docs.select(row.alias("_row"), F.col("text").alias("_text")), model, "_text")
+                     .select("_row", "tokens", "posterior"), "membership")
     listed = None if weights is None else [float(weights.get(d, 0.0)) for d in model.domains]
     found = fit(members, len(model.domains), listed, power, least, keep_all)
-    names = docs.columns
-    wide = membership(docs.select(F.struct(*names).alias("_row"), F.col("text").alias("_text")), model, "_text")
-    number = copies(found.rate(), F.coalesce(F.col("_row.doc_id"), F.lit(-1)))
-    # the rates are worked out anew from the text, so no text is shuffled
-    return (wide.select("_row", number.alias("_copies")).filter("_copies > 0")
-            .select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy"))
+    rated = members.select("_row", found.rate().alias("_rate"))
+    number = copies(F.col("_rate"), F.coalesce(F.col("_row.doc_id"), F.lit(-1)))
+    return (rated.select("_row", F.explode(F.array_repeat(F.lit(0), number)).alias("_copy"))
             .select(*[F.col("_row").getField(n).alias(n) for n in names]))
