@@ -1,4 +1,4 @@
 """All registered queries of this subpackage; importing the modules registers them."""
 
-from notelens.llm import digest_queries, language_queries, media_queries, mixing_queries, quality_queries, simhash_queries, substring_queries, token_queries, url_queries  # noqa: F401
+from notelens.llm import chat_queries, digest_queries, language_queries, media_queries, mixing_queries, quality_queries, simhash_queries, substring_queries, token_queries, url_queries  # noqa: F401
 from notelens.llm.registry import ORACLES, QUERIES  # noqa: F401
