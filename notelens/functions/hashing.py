@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def uniform(*keys: Column | str, seed: int | str) -> Column:
-    """A double in [0, 1) from the first 32 bits of ``md5(key:key:...:seed)``."""
+    """A double in [0, 1) from the first 52 bits of ``md5(key:key:...:seed)``."""
     parts = [F.col(k) if isinstance(k, str) else k for k in keys]
     text = F.concat_ws(":", *[p.cast("string") for p in parts], F.lit(str(seed)))
-    bits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return bits / F.lit(4294967296.0)
+    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return bits / F.lit(4503599627370496.0)

@@ -12,20 +12,18 @@ from notelens.operators.scale import sized
 def rank_candidates(scores: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per example: best sense, rank of the target, number of candidates.
 
-    ``scores(row_idx, lf_idx, score, target, ...)``. The target's rank counts
-    the candidates ahead of it, so candidates are aggregated, not sorted.
+    ``scores(row_idx, lf_idx, score, target, ...)``. One grouping brings the
+    few candidates of an example together; the target's rank counts those
+    ahead of it. A target that is no candidate ranks behind all of them.
     """
-    group = ["row_idx", *(keep or [])]
     order = F.struct((-F.col("score")).alias("s"), "lf_idx")
-    target = scores.where(F.col("lf_idx") == F.col("target")).select(
-        "row_idx", F.col("score").alias("_target_score"))
-    both = scores.join(target, "row_idx")
-    ahead = (F.col("score") > F.col("_target_score")) | (
-        (F.col("score") == F.col("_target_score")) & (F.col("lf_idx") < F.col("target")))
-    return both.groupBy(*group).agg(
+    own = F.min(F.when(F.col("lf_idx") == F.col("target"), order))
+    grouped = scores.groupBy("row_idx", *(keep or [])).agg(
         F.first("target").alias("target"), F.min_by("lf_idx", order).alias("pred"),
-        (F.count_if(ahead) + 1).alias("rank"), F.count(F.lit(1)).alias("n_candidates"),
+        own.alias("_own"), F.collect_list(order).alias("_all"), F.count(F.lit(1)).alias("n_candidates"),
     )
+    ahead = F.size(F.filter("_all", lambda c: F.coalesce(c < F.col("_own"), F.lit(True)))).cast("bigint")
+    return grouped.withColumn("rank", ahead + 1).drop("_own", "_all")
 
 
 def accuracy(ranked: DataFrame) -> DataFrame:
@@ -34,7 +32,8 @@ def accuracy(ranked: DataFrame) -> DataFrame:
 
 def top_k_accuracy(ranked: DataFrame, ks: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Share of targets among the first k; a k beyond the candidates counts as a hit."""
-    hit = lambda k: (F.col("rank") <= k) | (F.lit(k) > F.col("n_candidates"))
+    known = F.col("rank") <= F.col("n_candidates")
+    hit = lambda k: known & ((F.col("rank") <= k) | (F.lit(k) > F.col("n_candidates")))
     return ranked.agg(*[(F.count_if(hit(k)) / F.count(F.lit(1))).alias(f"top_{k}") for k in ks])
 
 
@@ -116,17 +115,33 @@ def chance_statistics(examples: DataFrame, senses: DataFrame) -> DataFrame:
 
 
 def bootstrap(outcomes: DataFrame, iterations: int = 100, share: float = 0.8, seed: int = 0) -> DataFrame:
-    """Accuracy on random subsets, one row per iteration, in one pass over ``(row_idx, is_correct)``.
+    """Metrics on random subsets, one row per iteration, in one pass over ``(row_idx, sf, target, pred, loss)``.
 
-    Every row adds to the iterations that keep it; the partial sums are
-    combined before the shuffle, so no row is sent once per iteration.
+    ``accuracy``, ``weighted_f1``, ``macro_f1`` (means over short forms) and ``log_loss``, with the rows ``n``. Every row
+    adds to the confusion cells of the iterations that keep it; the partial sums are combined before the shuffle, so no
+    row is sent once per iteration.
     """
     kept = F.transform(
         F.sequence(F.lit(0), F.lit(iterations - 1)),
         lambda i: F.struct(i.alias("iteration"), uniform("row_idx", i, seed=seed).alias("u")),
     )
-    rows = outcomes.select("is_correct", F.inline(kept)).where(F.col("u") < share)
-    return rows.groupBy("iteration").agg(F.avg(F.col("is_correct").cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    rows = outcomes.select("sf", "target", "pred", "loss", F.inline(kept)).where(F.col("u") < share)
+    cells = rows.groupBy("iteration", "sf", "target", "pred").agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss"))
+    n, none, zero = F.col("n"), F.lit(0).cast("bigint"), F.lit(0.0)
+    hits = F.when(F.col("target") == F.col("pred"), n).otherwise(none)
+    sides = F.inline(F.array(
+        F.struct(F.col("target").alias("lf_idx"), n.alias("support"), none.alias("predicted"), hits.alias("hits"), F.col("loss").alias("loss")),
+        F.struct(F.col("pred").alias("lf_idx"), none.alias("support"), n.alias("predicted"), none.alias("hits"), zero.alias("loss")),
+    ))
+    classes = cells.select("iteration", "sf", sides).groupBy("iteration", "sf", "lf_idx").agg(
+        *[F.sum(c).alias(c) for c in ("support", "predicted", "hits", "loss")])
+    f1 = _ratio(2.0 * F.col("hits"), F.col("support") + F.col("predicted"))
+    per_sf = classes.groupBy("iteration", "sf").agg(
+        *[F.sum(c).alias(c) for c in ("support", "hits", "loss")], F.avg(F.when(F.col("support") > 0, f1)).alias("macro_f1"),
+        _ratio(F.sum(f1 * F.col("support")), F.sum("support")).alias("weighted_f1"))
+    return per_sf.groupBy("iteration").agg(
+        (F.sum("hits") / F.sum("support")).alias("accuracy"), F.avg("weighted_f1").alias("weighted_f1"),
+        F.avg("macro_f1").alias("macro_f1"), (F.sum("loss") / F.sum("support")).alias("log_loss"), F.sum("support").alias("n"))
 
 
 def describe(values: DataFrame, column: str) -> DataFrame:

@@ -53,6 +53,12 @@ def sense_breakdown(examples: DataFrame, metadata: str = "section") -> DataFrame
     return examples.rollup("sf", "target_lf", metadata).agg(F.count(F.lit(1)).alias("n")).where(F.col("sf").isNotNull())
 
 
+def baseline_means(report: DataFrame) -> DataFrame:
+    """Means of the baseline's metrics over the short forms."""
+    names = ("accuracy", "macro_f1", "weighted_f1")
+    return report.agg(*[F.avg(c).alias(c) for c in names], F.count(F.lit(1)).alias("n_sf"))
+
+
 def dominant_metadata_baseline(train: DataFrame, val: DataFrame, senses: DataFrame) -> DataFrame:
     """``(sf, accuracy, macro_f1, weighted_f1)`` when the metadata value alone picks the sense.
 

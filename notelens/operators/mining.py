@@ -405,7 +405,7 @@ def tokenize_with_headers(contexts: DataFrame, sections: DataFrame, key: str = "
         seg = lambda i: _segments(F.get("words", i))
         same = F.array_join(F.slice(seg(at), last_seg + 1, F.greatest(first - last_seg, F.lit(0))), "")
         spread_out = F.concat_ws(
-            " ", F.array_join(F.slice(seg(last_word), last_seg + 1, F.size("words") + 10_000), ""),
+            " ", F.array_join(F.slice(seg(last_word), last_seg + 1, F.greatest(F.size(seg(last_word)), F.lit(0))), ""),
             F.array_join(F.slice("words", last_word + 2, F.greatest(at - last_word - 1, F.lit(0))), " "),
             F.coalesce(F.array_join(F.slice(seg(at), 1, first), ""), F.lit("")),
         )
@@ -413,8 +413,8 @@ def tokenize_with_headers(contexts: DataFrame, sections: DataFrame, key: str = "
 
     body = lambda text: F.struct(F.lit(False).alias("is_header"), text.alias("text"))
     clean_name = lambda p: F.regexp_replace(F.array_join(F.concat(
-        F.array(F.array_join(F.slice(_segments(F.get("words", p["at"])), p["first"] + 1, F.when(
-            p["n_words"] == 1, p["last"] - p["first"]).otherwise(F.lit(10_000))), "")),
+        F.array(let(_segments(F.get("words", p["at"])), lambda seg: F.array_join(F.slice(seg, p["first"] + 1, F.when(
+            p["n_words"] == 1, p["last"] - p["first"]).otherwise(F.size(seg))), ""))),
         F.slice("words", p["at"] + 2, F.greatest(p["n_words"] - 2, F.lit(0))),
         F.when(p["n_words"] > 1, F.array(F.array_join(F.slice(_segments(F.get("words", p["at"] + p["n_words"] - 1)), 1, p["last"]), "")))
         .otherwise(tx.words_array(())),

@@ -22,14 +22,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notelens.functions.hashing import uniform
 from notelens.session import stage_dir
 
 #: Largest measured payload that is broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 #: Rows one task may order in a window.
 ROWS_PER_TASK = 200_000
-#: Most buckets an ordering is cut into; also bounds the rows of the bucket table.
-MAX_BUCKETS = 10_000
+#: Most buckets an ordering is cut into; also bounds the rows of the bucket table. Beyond ROWS_PER_TASK * MAX_BUCKETS rows
+#: a task sorts more rows (windows sort on disk).
+MAX_BUCKETS = 100_000
+#: Positions that the buckets' edges are taken from, for each bucket.
+EDGE_SAMPLE = 50
 #: A key is hot when it holds at least this share of the total weight, so at
 #: most 1 / HOT_SHARE keys can be hot.
 HOT_SHARE = 1e-4
@@ -71,9 +75,10 @@ def lookup_join(
     """Join ``left`` to the keyed table ``right`` (one row per key, already staged).
 
     Beyond the broadcast bound, ``weight`` (how often each key occurs on the
-    left) tells the hot keys. There are at most ``1 / HOT_SHARE`` of them, so
-    their rows can be broadcast; the other keys are shuffled, and rows already
-    served get spread-out keys that match nothing.
+    left) tells the hot keys. There are at most ``1 / HOT_SHARE`` of them, and
+    their rows are broadcast if their measured size allows it; the other keys
+    are shuffled. Rows already served, and rows with a null key, get
+    spread-out keys that match nothing. A key without a weight is not hot.
     """
     if fits_broadcast(right):
         return left.join(F.broadcast(right), on, how)
@@ -81,14 +86,16 @@ def lookup_join(
         return left.join(right, on, how)
     payload = [c for c in right.columns if c != on]
     cut = (right.agg(F.sum(weight)).first()[0] or 0) * HOT_SHARE
-    is_hot = F.col(weight) >= cut
+    is_hot = F.coalesce(F.col(weight) >= F.lit(cut), F.lit(False)) & F.lit(cut > 0)
+    if not fits_broadcast(right.where(is_hot)):
+        is_hot = F.lit(False)
     hot = right.where(is_hot).select(on, F.struct(*payload).alias("_hot"))
     cold = right.where(~is_hot).select(
         F.col(on).cast("string").alias("_cold_key"), F.struct(*payload).alias("_cold")
     )
     spread = F.concat(F.lit("\u0000"), F.xxhash64(*left.columns).cast("string"))
     marked = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_key", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.col(on).cast("string"))
+        "_key", F.when(F.col("_hot").isNotNull() | F.col(on).isNull(), spread).otherwise(F.col(on).cast("string"))
     )
     found = marked.join(cold, F.col("_key") == F.col("_cold_key"), "left").withColumn(
         "_found", F.coalesce("_hot", "_cold")
@@ -106,7 +113,11 @@ def _with_bucket(df: DataFrame, position: Column) -> DataFrame:
     if buckets <= 1:
         return placed.withColumn("_bucket", F.lit(0.0)).drop("_position")
     shares = [i / buckets for i in range(1, buckets)]
-    points = placed.agg(F.percentile_approx("_position", shares, buckets * 20)).first()[0]
+    # edges only balance the buckets; rows of one position stay together
+    share = min(1.0, buckets * EDGE_SAMPLE / rows)
+    sample = placed.where(F.col("_position").isNotNull() & (uniform(*df.columns, seed="edges") <= share)).select("_position")
+    known = sorted(r[0] for r in sample.collect())
+    points = [known[int(s * len(known))] for s in shares] if known else []
     splits = [-math.inf, *sorted(set(points)), math.inf]
     return Bucketizer(splits=splits, inputCol="_position", outputCol="_bucket").transform(placed).drop("_position")
 

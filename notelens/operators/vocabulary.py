@@ -17,6 +17,10 @@ from notelens.operators.scale import (
 KIND_RANK = {"pad": 0, "token": 1, "section": 2, "category": 3}
 
 
+#: Steps of the uniforms that draw ids.
+DRAW_STEPS = float(1 << 52)
+
+
 def section_frequency(notes: DataFrame, min_count: int = 10, text: str = "text") -> DataFrame:
     """``sections(section, count)``: header names seen at least ``min_count`` times."""
     return (
@@ -170,7 +174,7 @@ def build_vocabulary(tokens: DataFrame) -> DataFrame:
     start = 1 + n_words
     for kind in ("section", "category"):
         meta = entries.where(F.col("kind") == kind).select("token", F.lit(0).cast("bigint").alias("support"), "kind")
-        numbered = number_rows(meta, ["token"], text_position(F.substring_index("token", "=", -1)), "id", start)
+        numbered = number_rows(meta, ["token"], text_position(F.expr("substr(token, instr(token, '=') + 1)")), "id", start)
         out = out.unionByName(numbered.select("id", "token", "support", "kind"))
         start += meta.count()
     pad = tokens.sparkSession.range(1).select(
@@ -214,10 +218,16 @@ def sampling_distribution(vocab: DataFrame, power: float = 0.75) -> DataFrame:
 
 
 def cumulative(dist: DataFrame) -> DataFrame:
-    """``(id, lo, hi)``: the slice of [0, 1) that draws each id. ``dist`` must be staged."""
-    positive = dist.where(F.col("p") > 0)
-    summed = running_total(positive, ["id"], F.col("id"), F.col("p"), "lo")
-    return summed.select("id", "lo", (F.col("lo") + F.col("p")).alias("hi"))
+    """``(id, lo, hi)``: the slice of [0, 1) that draws each id. ``dist`` must be staged.
+
+    Chances are added up as whole numbers of 2^-52, the steps of the uniforms, so every slice ends where the next one
+    begins, however many buckets the sum is cut into.
+    """
+    units = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("p") * F.lit(DRAW_STEPS)).cast("bigint"))
+    positive = dist.where(F.col("p") > 0).withColumn("units", units)
+    summed = running_total(positive, ["id"], F.col("id"), F.col("units"), "before")
+    return summed.select(
+        "id", (F.col("before") / F.lit(DRAW_STEPS)).alias("lo"), ((F.col("before") + F.col("units")) / F.lit(DRAW_STEPS)).alias("hi"))
 
 
 def weighted_draw(draws: DataFrame, slices: DataFrame, u: str, name: str) -> DataFrame:

@@ -317,9 +317,9 @@ def best_step(spark, sf):
 @register("k02_spread_of_models", s.with_("""
 SELECT dataset, stat, round(arg_max(v, (log_loss, experiment)), 8) AS worst, round(avg(v), 8) AS mean, round(arg_min(v, (log_loss, experiment)), 8) AS best FROM (
   SELECT *, unnest(['log_loss', 'accuracy', 'weighted_f1', 'macro_f1']) AS stat, unnest([log_loss, accuracy, weighted_f1, macro_f1]) AS v
-  FROM (SELECT * FROM metrics WHERE examples = 3000)) GROUP BY dataset, stat""", "metrics"))
+  FROM best) GROUP BY dataset, stat""", "best"))
 def spread_of_models(spark, sf):
-    out = ru.spread_of_models(metrics(spark, sf).where("examples = 3000"))
+    out = ru.spread_of_models(ru.best_step(metrics(spark, sf)))
     return out.select("dataset", "stat", *[F.round(c, 8).alias(c) for c in ("worst", "mean", "best")])
 
 

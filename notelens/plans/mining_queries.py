@@ -151,7 +151,7 @@ def labelled_contexts(spark, sf):
     return mi.label_contexts(contexts, labels).select("doc_id", F.col("at").cast("bigint").alias("word_at"), "lf", "sf", "target_lf_sense")
 
 
-_CAP = 100
+_CAP = 500
 s.define("capped", ("contexts", "viable"), f"""
 SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY lf ORDER BY {s.u('doc_id', 'word_at', seed=0)}, doc_id, word_at) AS rn,
@@ -355,3 +355,12 @@ SELECT sf, round(sum(hits) / sum(support), 6) AS accuracy, round(avg(f1) FILTER
        round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM baseline_classes GROUP BY sf""", "baseline_classes"))
 def dominant_section_baseline(spark, sf):
     return baseline(spark, sf).select("sf", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
+
+
+@register("e11_baseline_means", s.with_("""
+SELECT round(avg(accuracy), 6) AS accuracy, round(avg(macro_f1), 6) AS macro_f1, round(avg(weighted_f1), 6) AS weighted_f1, count(*) AS n_sf FROM (
+  SELECT sf, sum(hits) / sum(support) AS accuracy, avg(f1) FILTER (support > 0) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1
+  FROM baseline_classes GROUP BY sf)""", "baseline_classes"))
+def baseline_means(spark, sf):
+    means = ma.baseline_means(baseline(spark, sf))
+    return means.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")], "n_sf")

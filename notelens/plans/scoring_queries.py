@@ -257,8 +257,8 @@ def _five(spark, sf):
 SELECT sf, round(avg(lse - score), 6) AS log_loss, count(*) AS n FROM (
   SELECT *, ln(sum(exp(score)) OVER (PARTITION BY row_idx)) AS lse FROM scores) WHERE lf_idx = target GROUP BY sf""", "scores"))
 def cross_entropy(spark, sf):
-    hit = sc.softmax(_scores(spark, sf), ["row_idx"]).where(F.col("lf_idx") == F.col("target"))
-    return hit.groupBy("sf").agg(F.round(F.avg(-F.ln("p")), 6).alias("log_loss"), F.count(F.lit(1)).alias("n"))
+    losses = sc.example_losses(_scores(spark, sf), ["sf"])
+    return losses.groupBy("sf").agg(F.round(F.avg("loss"), 6).alias("log_loss"), F.count(F.lit(1)).alias("n"))
 
 
 s.define("by_weight", ("gauss",), f"SELECT vec_id, mu, floor({s.u('vec_id', seed='w')} * 1000)::BIGINT AS weight FROM gauss")
@@ -292,7 +292,18 @@ def blend_sweep(spark, sf):
     return swept.select("row_idx", "weight", F.col("lf_idx").cast("bigint").alias("lf_idx"), F.round("p", 5).alias("p"))
 
 
-@register("g15_cell_gaussians")
+_DIMS = 64
+s.define("cell_slots", ("windows", "id_gauss"), """
+SELECT center_id, metadata_id, mu, w::DOUBLE AS w FROM (
+  SELECT center_id, metadata_id, id, count(*) AS w FROM (
+    SELECT center_id, metadata_id, unnest(list_concat(left_ids, right_ids)) AS id FROM windows) GROUP BY ALL) JOIN id_gauss USING (id)""")
+
+
+@register("g15_cell_gaussians", s.with_(f"""
+SELECT center_id, metadata_id, round(m[1], 6) AS first, round(greatest(0, (square - list_dot_product(m, m)) / {_DIMS}), 6) AS var, n FROM (
+  SELECT center_id, metadata_id, sum(w)::BIGINT AS n, sum(w * list_dot_product(mu, mu)) / sum(w) AS square,
+         [{', '.join(f'sum(w * mu[{i}]) / sum(w)' for i in range(1, _DIMS + 1))}] AS m
+  FROM cell_slots GROUP BY ALL)""", "cell_slots"))
 def cell_gaussians(spark, sf):
     stream = fx.clean_tokens(spark, sf)
     vocab = fx.vocab(spark, sf, stream)
@@ -382,11 +393,15 @@ def global_means(spark, sf):
 
 @register("e08_rare_recall", s.with_("""
 SELECT round(avg(recall), 6) AS recall, count(*) AS n_rare FROM classes c
-WHERE (sf, lf_idx) IN (SELECT (sf, target) FROM confusion GROUP BY sf, target HAVING sum(n) > 0 AND sum(n) < 10)""", "classes", "confusion"))
+WHERE (sf, lf_idx) IN (SELECT (source, list_position(['de', 'en', 'es', 'fr'], lang) - 1) FROM documents
+                       WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY source, lang HAVING count(*) < 5)""", "classes"))
 def rare_recall(spark, sf):
-    cells = stage(ev.confusion(_ranked_rows(spark, sf)), "cells")
-    counted = cells.groupBy("sf", F.col("target").alias("lf_idx")).agg(F.sum("n").alias("count"))
-    return ev.rare_recall(ev.class_report(cells), counted, 10).withColumn("recall", F.round("recall", 6))
+    """Corpus contexts of a sense here: documents of the source in the sense's language."""
+    place = F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")) - 1
+    counted = table(spark, sf, "documents").where(place >= 0).groupBy(
+        F.col("source").alias("sf"), place.alias("lf_idx")).agg(F.count(F.lit(1)).alias("count"))
+    cells = ev.confusion(_ranked_rows(spark, sf))
+    return ev.rare_recall(ev.class_report(cells), counted).withColumn("recall", F.round("recall", 6))
 
 
 @register("e09_example_report", s.with_("""
@@ -408,18 +423,42 @@ def chance_statistics(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@register("e12_bootstrap", s.with_(f"""
-SELECT count(*) AS n, round(min(a), 6) AS least, round(max(a), 6) AS most, round(avg(a), 6) AS mean, round(var_samp(a), 9) AS variance,
-       round((sum(pow(a - m, 3)) / count(*)) / pow(sum(pow(a - m, 2)) / count(*), 1.5), 4) AS skewness,
-       round((sum(pow(a - m, 4)) / count(*)) / pow(sum(pow(a - m, 2)) / count(*), 2) - 3, 4) AS kurtosis FROM (
-  SELECT a, avg(a) OVER () AS m FROM (
-    SELECT i, avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END) AS a FROM (SELECT *, unnest(range(100)) AS i FROM ranked)
-    WHERE {s.u('row_idx', 'i', seed=0)} < 0.8 GROUP BY i))""", "ranked"))
+_BOOT = ["accuracy", "weighted_f1", "macro_f1", "log_loss"]
+s.define("losses", ("scores",), """
+SELECT row_idx, max(lse - score) AS loss FROM (
+  SELECT *, ln(sum(exp(score)) OVER (PARTITION BY row_idx)) AS lse FROM scores) WHERE lf_idx = target GROUP BY row_idx""")
+s.define("boot_cells", ("ranked", "losses"), f"""
+SELECT i, sf, target, pred, count(*) AS n, sum(loss) AS loss
+FROM (SELECT *, unnest(range(100)) AS i FROM ranked JOIN losses USING (row_idx))
+WHERE {s.u('row_idx', 'i', seed=0)} < 0.8 GROUP BY ALL""")
+s.define("boot_classes", ("boot_cells",), """
+SELECT i, sf, c, sum(t) AS t, sum(q) AS q, sum(h) AS h, sum(loss) AS loss,
+       CASE WHEN sum(t) + sum(q) > 0 THEN 2.0::DOUBLE * sum(h) / (sum(t) + sum(q)) ELSE 0 END AS f1 FROM (
+  SELECT i, sf, target AS c, n AS t, 0 AS q, CASE WHEN target = pred THEN n ELSE 0 END AS h, loss FROM boot_cells
+  UNION ALL SELECT i, sf, pred, 0, n, 0, 0 FROM boot_cells) GROUP BY i, sf, c""")
+s.define("boot", ("boot_classes",), """
+SELECT i, sum(h) / sum(t) AS accuracy, avg(wf1) AS weighted_f1, avg(mf1) AS macro_f1, sum(loss) / sum(t) AS log_loss FROM (
+  SELECT i, sf, sum(h)::DOUBLE AS h, sum(t)::DOUBLE AS t, sum(loss) AS loss, avg(f1) FILTER (t > 0) AS mf1,
+         CASE WHEN sum(t) > 0 THEN sum(f1 * t) / sum(t) ELSE 0 END AS wf1 FROM boot_classes GROUP BY i, sf) GROUP BY i""")
+
+
+@register("e12_bootstrap", s.with_("""
+SELECT metric, count(*) AS n, round(min(a), 6) AS least, round(max(a), 6) AS most, round(avg(a), 6) AS mean, round(var_samp(a), 8) AS variance,
+       round((sum(pow(a - m, 3)) / count(*)) / pow(sum(pow(a - m, 2)) / count(*), 1.5), 3) AS skewness,
+       round((sum(pow(a - m, 4)) / count(*)) / pow(sum(pow(a - m, 2)) / count(*), 2) - 3, 3) AS kurtosis FROM (
+  SELECT metric, a, avg(a) OVER (PARTITION BY metric) AS m FROM (
+    SELECT unnest(['accuracy', 'weighted_f1', 'macro_f1', 'log_loss']) AS metric, unnest([accuracy, weighted_f1, macro_f1, log_loss]) AS a FROM boot))
+GROUP BY metric""", "boot"))
 def bootstrap(spark, sf):
-    outcomes = _ranked_rows(spark, sf).select("row_idx", (F.col("pred") == F.col("target")).alias("is_correct"))
-    out = ev.describe(ev.bootstrap(outcomes), "accuracy")
-    digits = {"variance": 9, "skewness": 4, "kurtosis": 4}
-    return out.select("n", *[F.round(c, digits.get(c, 6)).alias(c) for c in out.columns if c != "n"])
+    scores = stage(_scores(spark, sf), "scores")
+    outcomes = ev.rank_candidates(scores, ["sf"]).join(sc.example_losses(scores), "row_idx")
+    runs = stage(ev.bootstrap(outcomes.select("row_idx", "sf", "target", "pred", "loss")), "bootstrap")
+    each = [ev.describe(runs, c).withColumn("metric", F.lit(c)) for c in _BOOT]
+    out = each[0]
+    for other in each[1:]:
+        out = out.unionByName(other)
+    digits = {"variance": 8, "skewness": 3, "kurtosis": 3}
+    return out.select("metric", "n", *[F.round(c, digits.get(c, 6)).alias(c) for c in out.columns if c not in ("n", "metric")])
 
 
 @register("e13_canonical_labels", s.with_("""

@@ -16,7 +16,7 @@ def str_list(values) -> str:
 
 def u(*keys: str, seed: int | str) -> str:
     text = " || ':' || ".join([*(f"({k})::VARCHAR" for k in keys), quote(str(seed))])
-    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 SP = f"[{tx.SPACE_SET}]"

@@ -116,7 +116,9 @@ def row_numbers(spark, sf):
     from notelens.operators.scale import number_rows, text_position
 
     rows = documents(spark, sf).select("doc_id", "source")
-    return number_rows(rows, ["source", "doc_id"], text_position(F.col("source")), "row_idx").select("doc_id", "row_idx")
+    last = rows.agg(F.max("doc_id")).first()[0] or 0
+    position = text_position(F.col("source")) + F.col("doc_id") / F.lit(float(last + 1))
+    return number_rows(rows, ["source", "doc_id"], position, "row_idx").select("doc_id", "row_idx")
 
 
 @register("m06_token_metadata_counts", s.with_("""
