@@ -106,3 +106,11 @@ def test_cap_and_split(spark):
     split = mi.split_per_long_form(capped, ["id"], 0.8)
     shares = {r.lf: r.n for r in split.groupBy("lf").agg(F.count_if("is_train").alias("n")).collect()}
     assert shares.pop("hot") == 40 and set(shares.values()) == {8}
+
+
+def test_header_before_a_very_long_word(spark):
+    long = "-".join("ab" for _ in range(10_000))
+    contexts = spark.createDataFrame([(1, f"HPI: {long} end")], "doc_id long, text string")
+    sections = spark.createDataFrame([("HPI", 20)], "section string, count long")
+    tokens = mi.tokenize_with_headers(contexts, sections).first().tokens
+    assert tokens[0] == "header=HPI" and tokens[1] == long and tokens[-1] == "end"

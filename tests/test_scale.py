@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from notelens.functions.hashing import uniform
 from notelens.operators import scale
+from notelens.operators import vocabulary as vo
 from notelens.session import stage_dir
 
 
@@ -82,3 +84,42 @@ def test_stage_folder_comes_from_the_session():
     assert stage_dir(local) == stage_dir(local)
     with pytest.raises(RuntimeError):
         stage_dir(Session(None, "yarn"))
+
+
+def test_lookup_join_keeps_rows_without_weight_or_key(spark, monkeypatch):
+    left = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 40).alias("key"))
+    for weight in (F.lit(None).cast("int"), F.lit(0), F.when(F.col("id") == 0, 100)):
+        right = spark.range(30).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"), weight.alias("w"))
+        want = sorted(map(str, left.join(right, "key", "left").select("id", "key", "twice", "w").collect()))
+        monkeypatch.setattr(scale, "BROADCAST_BYTES", 1)
+        got = scale.lookup_join(left, right, "key", "left", weight="w").select("id", "key", "twice", "w").collect()
+        monkeypatch.undo()
+        assert sorted(map(str, got)) == want
+
+
+def test_null_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 1)
+    left = spark.range(2000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("key"))
+    right = spark.range(2000).select(F.col("id").alias("key"), F.col("id").alias("v"), F.lit(1).alias("w"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = scale.lookup_join(left, right, "key", "left", weight="w").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert max(r["count"] for r in sizes) < 600
+
+
+def test_slices_of_draws_have_no_gaps(spark, small_tasks):
+    dist = spark.range(1, 101).select("id", (F.col("id") / 5050.0).alias("p"))
+    slices = vo.cumulative(dist).orderBy("id").collect()
+    assert len(slices) == 100 and slices[0].lo == 0
+    assert all(a.hi == b.lo for a, b in zip(slices, slices[1:]))
+    draws = spark.range(5000).select(F.col("id").alias("n"), uniform("id", seed=3).alias("u"))
+    drawn = vo.weighted_draw(draws, scale.stage(vo.cumulative(dist), "slices"), "u", "drawn").collect()
+    assert len(drawn) == len({r.n for r in drawn}) == 5000
+
+
+def test_uniforms_use_52_bits(spark):
+    values = [r.u * 2**52 for r in spark.range(200).select(uniform("id", seed=1).alias("u")).collect()]
+    assert all(v == int(v) and 0 <= v < 2**52 for v in values) and any(v % 2**20 for v in values)

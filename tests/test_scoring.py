@@ -62,3 +62,46 @@ def test_blank_line_documents(spark):
     assert docs(False) == [(2, "a b"), (4, "c"), (7, "d"), (10, "e")]
     # the buffer of the reading loop holds a space after a second blank line, which a third one closes
     assert docs(True) == [(2, "a b"), (4, "c"), (7, "d"), (9, ""), (10, "e")]
+
+
+def _scored(spark):
+    rows = [(1, 0, 0.9, 0), (1, 1, 0.1, 0), (2, 0, 0.3, 7), (2, 1, 0.6, 7), (3, 0, 0.2, 1), (3, 1, 0.8, 1)]
+    return spark.createDataFrame([(r, "x", *rest) for r, *rest in rows], "row_idx long, sf string, lf_idx long, score double, target long")
+
+
+def test_absent_target_is_a_miss(spark):
+    ranked = ev.rank_candidates(_scored(spark), ["sf"])
+    assert {(r.row_idx, r.pred, r["rank"], r.n_candidates) for r in ranked.collect()} == {(1, 0, 1, 2), (2, 1, 3, 2), (3, 1, 1, 2)}
+    row = ev.accuracy(ranked).first()
+    assert row.n == 3 and math.isclose(row.accuracy, 2 / 3)
+    assert math.isclose(ev.top_k_accuracy(ranked).first().top_3, 2 / 3)
+
+
+def test_absent_target_has_no_loss(spark):
+    import pytest
+
+    with pytest.raises(Exception, match="not among its candidates"):
+        sc.cross_entropy(_scored(spark)).collect()
+    good = sc.cross_entropy(_scored(spark).where("row_idx <> 2")).first()
+    want = (math.log(math.exp(0.9) + math.exp(0.1)) - 0.9 + math.log(math.exp(0.2) + math.exp(0.8)) - 0.8) / 2
+    assert good.n == 2 and math.isclose(good.log_loss, want)
+
+
+def test_bootstrap_metrics_by_hand(spark):
+    rows = [(i, "a" if i % 2 else "b", i % 3, (i * 7) % 3, i / 10) for i in range(12)]
+    frame = spark.createDataFrame(rows, "row_idx long, sf string, target long, pred long, loss double")
+    got = ev.bootstrap(frame, 2, 1.0).collect()
+    assert len(got) == 2
+    for run in got:
+        assert run.n == 12 and math.isclose(run.log_loss, np.mean([r[4] for r in rows]))
+        assert math.isclose(run.accuracy, np.mean([r[2] == r[3] for r in rows]))
+        macro, weighted = [], []
+        for sf in "ab":
+            own = [r for r in rows if r[1] == sf]
+            f1 = {}
+            for c in range(3):
+                h, t, p = (sum(map(f, own)) for f in (lambda r: r[2] == r[3] == c, lambda r: r[2] == c, lambda r: r[3] == c))
+                f1[c] = (2 * h / (t + p) if t + p else 0.0, t)
+            macro.append(np.mean([f for f, t in f1.values() if t]))
+            weighted.append(sum(f * t for f, t in f1.values()) / len(own))
+        assert math.isclose(run.macro_f1, np.mean(macro)) and math.isclose(run.weighted_f1, np.mean(weighted))
