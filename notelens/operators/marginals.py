@@ -28,13 +28,19 @@ def prune_singletons(counts: DataFrame) -> DataFrame:
     return _shares(kept, ["lf"])
 
 
+#: Observations that one row expands to.
+UNITS = 10_000
+
+
 def split_marginals(counts: DataFrame, share: float = 0.75, seed: int = 0) -> DataFrame:
     """``(lf, metadata, part, n, p)``: the counted observations split in two, one added on both sides.
 
     Each observation gets a hash rank inside its sense; a sense with very many
     observations is ranked in slices.
     """
-    units = counts.select("lf", "metadata", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("unit"))
+    # blocks first, so that no row holds an array as long as a count
+    blocks = counts.select("lf", "metadata", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1).cast("bigint"), F.lit(UNITS))).alias("at"))
+    units = blocks.select("lf", "metadata", F.explode(F.sequence(F.col("at") + 1, F.least(F.col("at") + UNITS, F.col("n")))).alias("unit"))
     drawn = stage(units.withColumn("_u", uniform("lf", "metadata", "unit", seed=seed)), "units")
     ranked = rank_in_group(drawn, ["lf"], "_u", ["metadata", "unit"], "_rank")
     sizes = counts.groupBy("lf").agg(F.floor(F.sum("n") * share).alias("_cut"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Steps of a stretch that one task orders.
+STEPS = 200_000
 STATS = ["log_loss", "accuracy", "weighted_f1", "macro_f1"]
 
 
@@ -43,6 +45,18 @@ def examples_seen(epoch: Column, step: Column, batches: int, batch_size: int) ->
 
 
 def running_mean(losses: DataFrame) -> DataFrame:
-    """Mean loss so far inside each epoch; an epoch holds one row per training step."""
-    upto = Window.partitionBy("experiment", "epoch").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return losses.withColumn("mean_loss", F.avg("loss").over(upto))
+    """Mean loss so far inside each epoch; an epoch holds one row per training step.
+
+    Steps are cut into stretches: the sums of the earlier stretches of an epoch are added to the running sums inside each,
+    so an epoch of any length is ordered in parts.
+    """
+    placed = losses.withColumn("_stretch", F.floor(F.col("step") / STEPS))
+    group = ["experiment", "epoch"]
+    sums = placed.groupBy(*group, "_stretch").agg(F.sum("loss").alias("_sum"), F.count("loss").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sums.select(*group, "_stretch", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_sum", "_n")])
+    upto = Window.partitionBy(*group, "_stretch").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("_sum_before") + F.coalesce(F.sum("loss").over(upto), F.lit(0.0))
+    seen = F.col("_n_before") + F.count("loss").over(upto)
+    return placed.join(earlier, [*group, "_stretch"]).withColumn("mean_loss", total / F.nullif(seen, F.lit(0))).drop(
+        "_stretch", "_sum_before", "_n_before")

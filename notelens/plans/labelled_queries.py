@@ -11,8 +11,7 @@ from notelens.operators import labelled as la
 from notelens.operators import mining as mi
 from notelens.operators import runs as ru
 from notelens.operators import vocabulary as vo
-
-from notelens.operators.scale import number_rows, stage
+from notelens.operators.scale import number_rows, sized, stage
 from notelens.plans import fixtures as fx
 from notelens.plans import mining_queries as mq
 from notelens.plans import sql as s
@@ -49,13 +48,8 @@ def assembled_documents(spark, sf):
 @register("s04_inventory_scan", s.with_("SELECT sf, lf_idx, lf FROM senses", "senses"))
 def inventory_scan(spark, sf):
     path = _path(spark, "inventory-json")
-    per_sf = fx.senses(spark, sf).groupBy("sf").agg(F.array_sort(F.collect_list(F.struct("lf_idx", "lf"))).alias("l"))
-    # one object per short form: a line of the file is one small JSON map
-    lines = per_sf.select(F.to_json(F.map_from_arrays(F.array("sf"), F.array(F.col("l.lf")))).alias("value"))
-    lines.write.text(path)
-    parsed = F.from_json("value", "map<string,array<string>>")
-    rows = spark.read.text(path).select(F.explode(parsed).alias("sf", "lfs"))
-    return rows.select("sf", F.posexplode("lfs").alias("lf_idx", "lf")).withColumn("lf_idx", F.col("lf_idx").cast("bigint"))
+    fi.write_inventory(fx.senses(spark, sf), path)
+    return fi.read_inventory(spark, path).withColumn("lf_idx", F.col("lf_idx").cast("bigint"))
 
 
 @register("s05_word_list_scan", f"SELECT DISTINCT w AS word FROM (SELECT unnest({s.words('text')}) AS w FROM benchmark)")
@@ -130,7 +124,7 @@ SELECT row_number() OVER (ORDER BY doc_id, word_at, lf) - 1 AS row_idx, sf, repl
 def labelled(spark, sf):
     contexts, senses = mq._contexts(spark, sf)
     numbered = number_rows(contexts, ["doc_id", "at", "lf"], F.col("doc_id"), "row_idx").withColumnRenamed("lf", "_lf")
-    rows = numbered.join(F.broadcast(senses.select("sf", F.col("lf").alias("_lf"))), "_lf")
+    rows = numbered.join(sized(senses.select("sf", F.col("lf").alias("_lf"))), "_lf")
     at, match = F.col("at"), F.col("lf_match")
     target = (
         F.when(at % 11 == 0, F.lit("MISTAKE")).when(at % 7 == 0, F.concat(F.lower("sf"), F.lit(" "), match))
@@ -145,11 +139,10 @@ def labelled(spark, sf):
 def labelled_scan(spark, sf):
     path = _path(spark, "labelled-pipe")
     rows = labelled(spark, sf)[0].select(
-        "sf", F.when(F.col("target_lf") != "MISTAKE", F.col("target_lf")).alias("target_lf"), "start_idx", F.lit("").alias("section"),
-        F.replace("context", F.lit("|"), F.lit("¦")).alias("context"))
-    rows.write.csv(path, sep="|", header=True, quoteAll=True, escape='"')
-    back = spark.read.schema(fi.LABELLED_SCHEMA).csv(path, sep="|", header=True, escape='"').na.drop(subset=["sf", "target_lf", "context"])
-    return back.select("sf", "target_lf", F.col("start_idx").cast("bigint").alias("start_idx"), F.replace("context", F.lit("¦"), F.lit("|")).alias("context"))
+        "sf", F.when(F.col("target_lf") != "MISTAKE", F.col("target_lf")).alias("target_lf"), "start_idx", F.lit("").alias("section"), "context")
+    fi.write_labelled(rows, path)
+    back = fi.read_labelled(spark, path)
+    return back.select("sf", "target_lf", F.col("start_idx").cast("bigint").alias("start_idx"), "context")
 
 
 s.define("self_free", ("labelled",), "SELECT * FROM labelled WHERE NOT list_contains(string_split(lower(target_lf), ' '), lower(sf))")

@@ -24,11 +24,20 @@ def write_notes_csv(notes: DataFrame, path: str) -> None:
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """Pipe-delimited labelled sentences; rows without a key column go."""
-    rows = spark.read.schema(LABELLED_SCHEMA).csv(path, sep="|", header=True)
+    """Pipe-delimited labelled sentences; rows without a key column go.
+
+    Quoted fields may hold pipes, line ends, and quotes written twice.
+    """
+    rows = spark.read.schema(LABELLED_SCHEMA).csv(path, sep="|", header=True, quote='"', escape='"', multiLine=True)
     return rows.na.drop(subset=["sf", "target_lf", "context"])
 
 
+def write_labelled(rows: DataFrame, path: str) -> None:
+    """Labelled sentences in the form that ``read_labelled`` reads."""
+    columns = [c.split()[0] for c in LABELLED_SCHEMA.split(", ")]
+    rows.select(*columns).write.csv(path, sep="|", header=True, quote='"', escape='"', quoteAll=True)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, line)``; ``line_no`` orders the lines of a file but need not be dense."""
     rows = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
@@ -71,13 +80,23 @@ def assemble_documents(lines: DataFrame, file: str, line_no: str, position: Colu
     return grouped.select(file, "closing", F.array_join("_lines.text", " ").alias("text"))
 
 
-def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """``senses(sf, lf_idx, lf)`` from one JSON object ``{short form: [long forms]}``."""
-    raw = spark.read.text(path, wholetext=True)
+def read_inventory(spark: SparkSession, path: str, one_object: bool = False) -> DataFrame:
+    """``senses(sf, lf_idx, lf)`` from JSON objects ``{short form: [long forms]}``.
+
+    A large inventory has an object on each line, and is read in parallel. With ``one_object`` a file is one object over
+    any number of lines, which is one row; that is the form for small files.
+    """
+    raw = spark.read.text(path, wholetext=one_object)
     parsed = F.from_json("value", T.MapType(T.StringType(), T.ArrayType(T.StringType())))
     return raw.select(F.explode(parsed).alias("sf", "lfs")).select("sf", F.posexplode("lfs").alias("lf_idx", "lf"))
 
 
+def write_inventory(senses: DataFrame, path: str) -> None:
+    """An object on each line, one for each short form."""
+    per_sf = senses.groupBy("sf").agg(F.array_sort(F.collect_list(F.struct("lf_idx", "lf"))).alias("l"))
+    per_sf.select(F.to_json(F.map_from_arrays(F.array("sf"), F.array(F.col("l.lf")))).alias("value")).write.text(path)
+
+
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """One word per line, trimmed, without repeats."""
     word = F.regexp_replace("value", f"^{tx.SPACES}|{tx.SPACES}$", "").alias("word")

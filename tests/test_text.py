@@ -112,3 +112,22 @@ def test_long_form_tokens(spark):
     senses = spark.createDataFrame([("Stroke;stroke, NOS;stroke cerebral",), ("nos;procedure",)], "lf string")
     got = {(r.lf[:3], r.token) for r in vo.long_form_tokens(senses, tx.LF_NOISE_WORDS).collect()}
     assert got == {("Str", "stroke"), ("Str", "cerebral"), ("nos", "nos"), ("nos", "procedure")}
+
+
+def test_labelled_file_keeps_pipes_quotes_and_line_ends(spark, tmp_path):
+    from notelens.sources import files as fi
+
+    rows = [("RA", "rheumatoid arthritis", 4, "HPI", 'the "RA" is | big'), ("RA", "right atrium", 0, "", 'a "quoted"\nsecond | line'),
+            ("RA", None, 0, "", "x")]
+    fi.write_labelled(spark.createDataFrame(rows, fi.LABELLED_SCHEMA), str(tmp_path / "labelled"))
+    assert sorted(r.context for r in fi.read_labelled(spark, str(tmp_path / "labelled")).collect()) == sorted(r[4] for r in rows[:2])
+
+
+def test_inventory_files(spark, tmp_path):
+    from notelens.sources import files as fi
+
+    senses = [("RA", 0, "right atrium"), ("RA", 1, "room air"), ("PT", 0, "physical therapy;patient")]
+    fi.write_inventory(spark.createDataFrame(senses, "sf string, lf_idx int, lf string"), str(tmp_path / "lines"))
+    assert sorted(map(tuple, fi.read_inventory(spark, str(tmp_path / "lines")).collect())) == sorted(senses)
+    (tmp_path / "one.json").write_text('{"RA": ["right atrium",\n "room air"],\n "PT": ["physical therapy;patient"]}')
+    assert sorted(map(tuple, fi.read_inventory(spark, str(tmp_path / "one.json"), one_object=True).collect())) == sorted(senses)
