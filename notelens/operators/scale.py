@@ -74,17 +74,18 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``left`` to the keyed table ``right`` (one row per key, already staged).
 
-    Beyond the broadcast bound, ``weight`` (how often each key occurs on the
-    left) tells the hot keys. There are at most ``1 / HOT_SHARE`` of them, and
+    Beyond the broadcast bound, ``weight`` (a column of ``right``: how often
+    each key occurs on the left; none: they are counted) tells the hot keys. There are at most ``1 / HOT_SHARE`` of them, and
     their rows are broadcast if their measured size allows it; the other keys
     are shuffled. Rows already served, and rows with a null key, get
     spread-out keys that match nothing. A key without a weight is not hot.
     """
     if fits_broadcast(right):
         return left.join(F.broadcast(right), on, how)
-    if weight is None:
-        return left.join(right, on, how)
     payload = [c for c in right.columns if c != on]
+    if weight is None:
+        counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("_weight"))
+        right, weight = stage(right.join(counts, on, "left"), "weighted"), "_weight"
     cut = (right.agg(F.sum(weight)).first()[0] or 0) * HOT_SHARE
     is_hot = F.coalesce(F.col(weight) >= F.lit(cut), F.lit(False)) & F.lit(cut > 0)
     if not fits_broadcast(right.where(is_hot)):

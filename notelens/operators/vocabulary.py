@@ -185,10 +185,9 @@ def build_vocabulary(tokens: DataFrame) -> DataFrame:
 
 def token_ids(tokens: DataFrame, vocab: DataFrame, unknown: int = -1) -> DataFrame:
     """Look up ids; words outside the vocabulary get ``unknown``. ``vocab`` must be staged."""
-    keys = vocab.select("token", "id", F.col("support").alias("seen"))
-    return lookup_join(tokens, keys, "token", "left", weight="seen").withColumn(
-        "id", F.coalesce("id", F.lit(unknown).cast("bigint"))
-    ).drop("seen")
+    keys = vocab.select("token", "id")  # no support as weight: that of sections and categories is 0 by construction
+    return lookup_join(tokens, keys, "token", "left").withColumn(
+        "id", F.coalesce("id", F.lit(unknown).cast("bigint")))
 
 
 def id_stream(tokens: DataFrame, vocab: DataFrame) -> DataFrame:

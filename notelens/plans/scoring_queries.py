@@ -308,7 +308,7 @@ def cell_gaussians(spark, sf):
     stream = fx.clean_tokens(spark, sf)
     vocab = fx.vocab(spark, sf, stream)
     grams = ex.skip_grams(wi.fill_metadata(vo.id_stream(stream, vocab)), fx.WINDOW)
-    vectors = sized(_id_gauss(spark, sf, vocab).select("id", F.col("mu").alias("vec")))
+    vectors = _id_gauss(spark, sf, vocab).select("id", F.col("mu").alias("vec"))
     cells = sc.cell_gaussians(grams, vectors)
     return cells.select("center_id", "metadata_id", F.round(F.get("mu", 0), 6).alias("first"), F.round(F.get("var", 0), 6).alias("var"), "n")
 

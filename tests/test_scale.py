@@ -123,3 +123,26 @@ def test_slices_of_draws_have_no_gaps(spark, small_tasks):
 def test_uniforms_use_52_bits(spark):
     values = [r.u * 2**52 for r in spark.range(200).select(uniform("id", seed=1).alias("u")).collect()]
     assert all(v == int(v) and 0 <= v < 2**52 for v in values) and any(v % 2**20 for v in values)
+
+
+def test_lookup_join_counts_keys_itself(spark, monkeypatch):
+    left = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("key"))
+    right = spark.range(30).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"))
+    want = sorted(map(str, left.join(right, "key", "left").select("id", "key", "twice").collect()))
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(scale, "HOT_SHARE", 0.2)
+    assert sorted(map(str, scale.lookup_join(left, scale.stage(right, "right"), "key", "left").select("id", "key", "twice").collect())) == want
+
+
+def test_scores_are_the_same_beyond_the_broadcast_bound(spark, monkeypatch):
+    from notelens.operators import scoring as sc
+
+    examples = spark.createDataFrame([(i, "hot" if i % 4 else f"s{i}", 0, [float(i), 1.0], [0.5]) for i in range(40)],
+                                     "row_idx long, sf string, target long, mu array<double>, var array<double>")
+    senses = spark.createDataFrame([(sf, k, [k + 0.5, 2.0], [1.0]) for sf in ["hot", *[f"s{i}" for i in range(0, 40, 4)]] for k in range(3)],
+                                   "sf string, lf_idx long, mu array<double>, var array<double>")
+    want = sorted(map(str, sc.score_by_kl(examples, senses).collect()))
+    for module in (scale, sc):
+        if hasattr(module, "BROADCAST_BYTES"):
+            monkeypatch.setattr(module, "BROADCAST_BYTES", 1)
+    assert sorted(map(str, sc.score_by_kl(examples, senses).collect())) == want
