@@ -83,8 +83,9 @@ def _phrases(words: Column, n: int, max_segments: int, within_last: str | None =
     """All phrases of ``n`` words as ``struct(at, first, last, phrase)``.
 
     ``first`` is the first segment taken of the first word and ``last`` the
-    number of segments taken of the last one. With ``within_last`` only
-    phrases are built whose last word contains that text.
+    number of segments taken of the last one; no word of the dictionary has
+    more than ``max_segments``, so no longer part of a word is tried. With
+    ``within_last`` only phrases are built whose last word contains that text.
     """
     none = F.array().cast("array<struct<at:int,first:int,last:int,phrase:string>>")
     fits = lambda word: F.lit(True) if within_last is None else F.contains(word, F.lit(within_last))
@@ -104,9 +105,9 @@ def _phrases(words: Column, n: int, max_segments: int, within_last: str | None =
     def spans_over(all_words: Column, word: Column, at: Column) -> Column:
         middle = F.array_join(F.slice(all_words, at + 2, n - 2), " ") if n > 2 else None
         return let(_segments(word), lambda head: let(_segments(F.get(all_words, at + (n - 1))), lambda tail: F.flatten(F.transform(
-            F.sequence(F.lit(0), F.size(head) - 1),
+            F.sequence(F.greatest(F.lit(0), F.size(head) - max_segments), F.size(head) - 1),
             lambda i: F.transform(
-                F.sequence(F.lit(1), F.size(tail)),
+                F.sequence(F.lit(1), F.least(F.size(tail), F.lit(max_segments))),
                 lambda j: F.struct(
                     at.alias("at"), i.alias("first"), j.alias("last"),
                     F.concat_ws(" ", F.array_join(F.slice(head, i + 1, F.size(head)), ""), *([middle] if n > 2 else []),

@@ -114,3 +114,17 @@ def test_header_before_a_very_long_word(spark):
     sections = spark.createDataFrame([("HPI", 20)], "section string, count long")
     tokens = mi.tokenize_with_headers(contexts, sections).first().tokens
     assert tokens[0] == "header=HPI" and tokens[1] == long and tokens[-1] == "end"
+
+
+def test_long_words_do_not_multiply(spark):
+    """Two words of 400 parts: only parts as long as the dictionary's words are tried."""
+    text = "-".join("ab" for _ in range(400)) + " " + "-".join("cd" for _ in range(400))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    entries = mi.long_form_entries(spark.createDataFrame([("ab cd",), ("b-ab cd-c",), ("zz",)], "lf string"))
+    words = mi.tx.split_spaces(F.col("text"))
+    tried = docs.select(F.size(mi._phrases(words, 2, 3)).alias("n")).first().n
+    assert tried == 9
+    from notelens.operators.scale import stage
+
+    hits = mi.scan(docs, stage(entries, "entries")).collect()
+    assert {r.lf for r in hits} == {"ab cd"} and len(hits) == 1

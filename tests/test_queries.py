@@ -29,3 +29,15 @@ def test_entry_runs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["t08_sectioned_notes", "v08_id_stream", "x05_round_robin", "g05_rank_by_kl", "r01_dictionary_scan"])
+def test_query_equals_sql_beyond_all_bounds(spark, con, monkeypatch, name):
+    """The branches for large tables: nothing is broadcast, few rows a task."""
+    from notelens.operators import scale
+
+    name = next(q for q in entry.queries() if q.startswith(name.split("_")[0] + "_"))
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(scale, "ROWS_PER_TASK", 5000)
+    monkeypatch.setattr(scale, "HOT_SHARE", 0.01)
+    assert oracle.compare(spark, con, SF, entry.queries()[name], entry.oracle_sql()[name]) == ""
