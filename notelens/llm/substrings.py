@@ -234,7 +234,9 @@ def _hot_runs(packed: DataFrame, width: int) -> DataFrame:
     windows = map_rows(packed.select("digest", "smallest", "packed"), cut, [
         T.StructField("window", BIN), T.StructField("digest", BIN), T.StructField("smallest", LONG), T.StructField("first", INT)])
     windows = staged(windows, "hot-windows")
-    lowest = windows.groupBy("window").agg(F.min("smallest").alias("lowest"))
+    # written, so that the join reads two plain shuffles, of which adaptive execution can split a window's rows
+    lowest = staged(windows.groupBy("window").agg(F.min("smallest").alias("lowest"), F.max("smallest").alias("highest"))
+                    .filter("lowest < highest").select("window", "lowest"), "hot-lowest")
     run = F.struct("first", F.lit(1).alias("count"), F.col("lowest").alias("smallest"))
     # a super-k-mer has no more windows than a document has words
     return (windows.join(lowest, "window").filter("lowest < smallest")
@@ -244,8 +246,8 @@ def _hot_runs(packed: DataFrame, width: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int | None = None) -> DataFrame:
     """``(doc_id, text_key, spans)`` of the documents that lose words; a span is (first word, number of words)."""
     places = staged(_places(docs, width, gram), "places")
-    shared = (places.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-              .filter("a < b").select("minimiser"))
+    shared = staged(places.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                    .filter("a < b").select("minimiser"), "shared")
     kept = staged(places.join(shared, "minimiser"), "shared-places")
     pick = F.min(F.struct("doc_id", "text_key", "place")).alias("pick")
     strings = staged(kept.groupBy("minimiser", "digest").agg(pick).select("minimiser", "digest", "pick.*"), "strings")
@@ -257,7 +259,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
     wanted = (strings.join(heavy, "minimiser").groupBy("doc_id", "text_key").agg(F.collect_list(chosen).alias("chosen")))
     packed = staged(_packed(docs.filter("doc_id is not null"), wanted, width), "packed")
     runs = _bucket_runs(packed.filter("not hot"), width).union(_hot_runs(packed.filter("hot"), width))
-    runs = runs.groupBy("digest").agg(F.first("runs").alias("runs"))
+    runs = staged(runs.groupBy("digest").agg(F.first("runs").alias("runs")), "runs")
     # of a copy of a string that stands for a smaller id all windows go, of the one that stands for itself those of the runs
     tagged = kept.join(strings.select("digest", F.col("doc_id").alias("own")), "digest").join(runs, "digest", "left")
     start = F.shiftright("place", 32)
