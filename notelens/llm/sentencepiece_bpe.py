@@ -33,7 +33,7 @@ from notelens.llm.tables import map_rows, slices
 
 MARK = "▁"
 #: Segments and pairs whose results one Python worker keeps, and the longest segment it keeps.
-CACHED_SEGMENTS, CACHED_PAIRS, CACHED_CHARS = 500_000, 1_000_000, 64
+CACHED_SEGMENTS, CACHED_PAIRS, CACHED_CHARS = 250_000, 500_000, 64
 SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 

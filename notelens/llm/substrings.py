@@ -47,7 +47,7 @@ WIDTH, GRAM = 50, 8
 #: Windows in the distinct super-k-mers of a minimiser above which they are dealt out by their words.
 HOT = 50_000
 #: Words whose hashes a Python worker keeps.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 LONG, INT, TEXT, BIN = T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType()
