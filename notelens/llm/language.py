@@ -58,14 +58,37 @@ def words_of(text: str | None) -> list[str]:
     return words
 
 
-def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Places of a word's weights: prefixes, suffixes, n-grams with the word's ends, and the word if it is in the lexicon."""
-    ends = f"^{word}$"
-    names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    names += [f"g{ends[i:i + n]}" for n in (2, 3) for i in range(len(ends) - n + 1)]
-    if word in lexicon:
-        names.append(f"w{word}")
-    return [xxhash.xxh3_64_intdigest(n) % WEIGHTS for n in names]
+def _hashed(*letters: np.ndarray) -> np.ndarray:
+    h = np.full(len(letters[0]), len(letters), np.uint64)
+    for x in letters:
+        h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(WEIGHTS)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, first): places of the words' weights, one word after the other, and where each word's places begin.
+
+    A word written between two marks gives its pairs and triples of characters (with the marks: affixes of one and two
+    letters), its affixes of three letters, and its own place if it is in the lexicon. Place ``WEIGHTS`` has no weight.
+    """
+    joined = "".join([f"^{w}$" for w in words])
+    c = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    left = np.repeat(start + size, size) - np.arange(len(c))  # characters from a place to its word's end
+    after = [np.concatenate([c[k:], np.zeros(k, np.uint64)]) for k in range(4)]
+    pairs = np.where(left >= 2, _hashed(*after[:2]), WEIGHTS)
+    triples = np.where(left >= 3, _hashed(*after[:3]), WEIGHTS)
+    fours = _hashed(*after)
+    prefix = np.where(size >= 5, fours[start], WEIGHTS)
+    suffix = np.where(size >= 5, fours[np.maximum(start + size - 4, 0)], WEIGHTS)
+    known = np.array([xxhash.xxh3_64_intdigest(w) % WEIGHTS if w in lexicon else WEIGHTS for w in words], np.int64)
+    # of each word: two places a character, the last of which have no weight; three of them are free for affixes and word
+    places = np.stack([pairs, triples], 1)
+    last = start + size - 1
+    places[last, 0], places[last, 1], places[last - 1, 1] = prefix, suffix, known
+    return places.ravel(), 2 * start
 
 
 @dataclass
@@ -81,8 +104,10 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"index": {}, "scores": None}
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weights[features(word, self.lexicon)].sum(0)
+    def emission(self, words: list[str]) -> np.ndarray:
+        """Scores of different words by language."""
+        places, first = features(words, self.lexicon)
+        return np.add.reduceat(self.weights[places], first, axis=0)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of the words by language; words that come again are worked out once."""
@@ -92,21 +117,16 @@ class Model:
         places = list(map(index.get, words))
         long: dict[str, int] = {}
         if None in places:
-            for k, place in enumerate(places):
-                if place is not None:
-                    continue
-                word = words[k]
-                own = index if len(word) <= CACHED_CHARS else long
-                if word not in own:
-                    own[word] = len(index) + len(long)
-                    if own[word] >= len(self.scores):
-                        self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                    self.scores[own[word]] = self.emission(word)
-                places[k] = own[word]
-        found = self.scores[np.array(places, np.int64)]
-        if long:  # long words are not kept: their places may be taken anew
-            self.index, self.scores = {}, None
-        return found
+            missing = list(dict.fromkeys(itertools.compress(words, [p is None for p in places])))
+            missing.sort(key=lambda w: len(w) > CACHED_CHARS)  # long words come last: they are not kept
+            at = len(index)
+            while at + len(missing) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[at:at + len(missing)] = self.emission(missing)
+            for k, word in enumerate(missing, at):
+                (index if len(word) <= CACHED_CHARS else long)[word] = k
+            places = [(index[w] if w in index else long[w]) if p is None else p for p, w in zip(places, words)]
+        return self.scores[np.array(places, np.int64)]
 
 
 def marginals(emissions: np.ndarray, lengths: Sequence[int], transition: np.ndarray) -> np.ndarray:
@@ -208,13 +228,15 @@ def train(pieces: list[tuple[str, list[str]]], seed: int = 0) -> Model:
     counts = Counter(w for _, words in pieces for w in words)
     lexicon = frozenset(w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if n >= LEXICON_SUPPORT)
     k = len(languages)
-    weights, transition = np.zeros((WEIGHTS, k)), np.zeros((k, k))
+    weights, transition = np.zeros((WEIGHTS + 1, k)), np.zeros((k, k))
     if not k:
         return Model([], weights, transition, lexicon)
     rng = np.random.default_rng(seed)
-    own = {w: np.array(features(w, lexicon)) for w in counts}
+    listed = sorted(counts)
+    all_places, first = features(listed, lexicon)
+    own = {w: p[p < WEIGHTS] for w, p in zip(listed, np.split(all_places, first[1:]))}
     by_language = [[words for lang, words in pieces if lang == name] for name in languages]
-    power_w, power_t = np.full((WEIGHTS, k), 1e-2), np.full((k, k), 1e-2)
+    power_w, power_t = np.full((WEIGHTS + 1, k), 1e-2), np.full((k, k), 1e-2)
 
     def piece(lang: int) -> list[str]:
         words = by_language[lang][rng.integers(len(by_language[lang]))]
@@ -233,7 +255,7 @@ def train(pieces: list[tuple[str, list[str]]], seed: int = 0) -> Model:
         emissions = np.add.reduceat(weights[flat], starts, axis=0).reshape(BATCH, 2 * PIECE, k)
         by_emission, by_transition, _ = _gradient(emissions, np.array(labels).reshape(BATCH, -1), transition)
         by_word = by_emission.reshape(-1, k)
-        change = np.stack([np.bincount(flat, by_word[word, c], WEIGHTS) for c in range(k)], 1) / BATCH - DECAY * weights
+        change = np.stack([np.bincount(flat, by_word[word, c], WEIGHTS + 1) for c in range(k)], 1) / BATCH - DECAY * weights
         power_w += change ** 2
         weights += RATE * change / np.sqrt(power_w)
         by_transition = by_transition / BATCH - DECAY * transition

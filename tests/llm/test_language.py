@@ -86,3 +86,14 @@ def test_nothing_and_one_language(documents):
     assert [r.lang_pred for r in op.predict(documents(["some words"]), nothing).collect()] == ["und"]
     one = op.fit(documents(["some words here", "more words there"]))
     assert [(r.lang_pred, r.score) for r in op.predict(documents(["unseen", "1"]), one).collect()] == [("en", 1.0), ("und", 0.0)]
+
+
+def test_features_do_not_depend_on_neighbours():
+    words = ["a", "das", "é", "haus", "x" * 50, "haus", "日本"]
+    places, first = op.features(words, frozenset(["haus", "a"]))
+    own = [sorted(p[p < op.WEIGHTS].tolist()) for p in np.split(places, first[1:])]
+    for word, found in zip(words, own):
+        alone, _ = op.features([word], frozenset(["haus", "a"]))
+        assert sorted(alone[alone < op.WEIGHTS].tolist()) == found
+        n = len(word) + 2
+        assert len(found) == (n - 1) + (n - 2) + 2 * (len(word) >= 3) + (word in ("haus", "a"))
