@@ -69,16 +69,17 @@ def fingerprint(text: str | None, k: int = WORDS_PER_SHINGLE) -> bytes:
     return np.packbits(counts * 2 > len(bits)).tobytes()
 
 
-def fingerprints(docs: DataFrame, k: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """``(doc_id, point)``: the fingerprint of every row as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, k: int = WORDS_PER_SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, point)``: the fingerprint of every row as a signed 64-bit integer; then the columns of ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             raw = b"".join([fingerprint(t, k) for t in part.column(1).to_pylist()])
             points = np.frombuffer(raw, ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(points)], ["doc_id", "point"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(points), *part.columns[2:]], ["doc_id", "point", *keep])
 
-    return map_rows(docs.select("doc_id", "text"), run, [docs.schema["doc_id"], T.StructField("point", T.LongType())])
+    return map_rows(docs.select("doc_id", "text", *keep), run,
+                    [docs.schema["doc_id"], T.StructField("point", T.LongType()), *[docs.schema[c] for c in keep]])
 
 
 def quarter(points: np.ndarray, q: int) -> np.ndarray:
@@ -222,29 +223,43 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(kept)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = WORDS_PER_SHINGLE, leaf: int | None = None,
-                    shard: int | None = None) -> DataFrame:
-    """``(doc_id, point, component_id)`` of every row; the component's id is its smallest ``doc_id``."""
-    rows = staged(fingerprints(docs, k), "fingerprints")
+def _members(rows: DataFrame, radius: int, leaf: int | None = None, shard: int | None = None) -> DataFrame:
+    """``(point, smallest, root, component_id)`` of every fingerprint: its own smallest id, its component and the smallest id there."""
     points = staged(rows.groupBy("point").agg(F.min("doc_id").alias("smallest")), "points")
     found = components(link_points(points, points.count(), radius, leaf, shard))
     rooted = (points.join(found.withColumnRenamed("node", "point"), "point", "left")
               .select("point", "smallest", F.coalesce("root", "point").alias("root")))
     roots = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    members = staged(rooted.join(roots, "root").select("point", "component_id"), "members")
-    return rows.join(members, "point").select("doc_id", "point", "component_id")
+    return staged(rooted.join(roots, "root").select("point", "smallest", "root", "component_id"), "members")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, k: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """Of each group the document with the smallest id; rows that repeat its id are left out, the smallest text stays."""
-    names = docs.columns
-    kept = near_duplicates(docs, radius, k).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    wide = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = F.row_number().over(_same_id())
-    return wide.withColumn("_first", first).filter("_first = 1").select(*names)
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = WORDS_PER_SHINGLE, leaf: int | None = None,
+                    shard: int | None = None) -> DataFrame:
+    """``(doc_id, point, component_id)`` of every row; the component's id is its smallest ``doc_id``."""
+    rows = staged(fingerprints(docs, k), "fingerprints")
+    members = _members(rows, radius, leaf, shard).select("point", "component_id")
+    return rows.join(members, "point").select("doc_id", "point", "component_id")
 
 
-def _same_id():
-    from pyspark.sql import Window
+def keep_one(docs: DataFrame, radius: int = RADIUS, k: int = WORDS_PER_SHINGLE) -> DataFrame:
+    """Of each group one row: the one of the smallest id, then text, then other columns in their order (null ids and texts last).
 
-    return Window.partitionBy("doc_id").orderBy("text")
+    Groups are told apart by their root, not by ids, which may repeat or be null. Rows of one text have one digest, so
+    one row for each digest is enough to choose from; both choices are aggregates, and no task holds the rows of an id or
+    a group. Columns must have an order (no maps).
+    """
+    names = docs.columns
+    digest = F.coalesce(F.md5("text"), F.lit(""))
+    rows = staged(fingerprints(docs.select("doc_id", "text", digest.alias("digest")), k, keep=("digest",)), "fingerprints")
+    members = _members(rows, radius)
+    # texts whose smallest id is the smallest of their group; the id in the key spreads the texts of a common fingerprint
+    texts = rows.groupBy("digest").agg(F.min("point").alias("point"), F.min("doc_id").alias("smallest")).alias("t")
+    least = members.filter("smallest <=> component_id").select("point", "smallest", "root").alias("m")
+    same = (F.col("t.point") == F.col("m.point")) & F.col("t.smallest").eqNullSafe(F.col("m.smallest"))
+    chosen = texts.join(least, same).select("t.digest", "m.root")
+    row = F.struct(F.col("doc_id").isNull().alias("_no_id"), F.col("doc_id").alias("_id"), F.col("text").isNull().alias("_no_text"),
+                   F.col("text").alias("_text"), *[n for n in names if n not in ("doc_id", "text")])
+    wide = docs.select(digest.alias("_digest"), row.alias("_row")).groupBy("_digest").agg(F.min("_row").alias("_row"))
+    first = wide.join(chosen, F.col("_digest") == F.col("digest")).groupBy("root").agg(F.min("_row").alias("_row"))
+    own = {"doc_id": "_id", "text": "_text"}
+    return first.select(*[F.col("_row").getField(own.get(n, n)).alias(n) for n in names])

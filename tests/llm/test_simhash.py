@@ -112,3 +112,15 @@ def test_rows(spark, documents):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 7, 8]
     assert op.near_duplicates(documents([])).count() == 0 and op.keep_one(documents([])).count() == 0
     assert op.near_duplicates(documents([(None, "a"), (None, "a")])).filter(F.col("component_id").isNull()).count() == 2
+
+
+def test_keep_one_row_of_every_group(spark, documents):
+    """Ids that stand in several groups, groups without ids, and texts of one group under one id."""
+    a, b = "zebras " + " ".join(f"word{k}" for k in range(30)), "apples " + " ".join(f"term{k}" for k in range(30))
+    c = " ".join(f"part{k}" for k in range(30))
+    docs = documents([(5, a), (3, b.upper()), (5, b), (None, c), (None, c.upper()), (None, "one two three four"), (None, "five six seven eight"),
+                      (None, None), (None, "")], extra=["root", "digest", "point", "smallest"])
+    got = sorted((r.doc_id or -1, r.text) for r in op.keep_one(docs.repartition(3)).collect())
+    assert got == sorted([(5, a), (3, b.upper()), (-1, c.upper()), (-1, "one two three four"), (-1, "five six seven eight"), (-1, "")])
+    same = documents([(5, a), (5, b)])
+    assert {r.text for r in op.keep_one(same).collect()} == {a, b}
