@@ -10,13 +10,19 @@ the least cost; of equally cheap ones it takes the one whose choices come first
 order keep, merge, relabel, insert, turn by turn from the end.
 
 The steps of a stretch of turns form a min-plus matrix over the states, and matrices of
-neighbouring stretches multiply. So conversations are cut into stretches of ``STRETCH``
-turn numbers; each gives its matrix from its roles, the matrices of a conversation give
-the states at the cuts, and every stretch is then repaired between its states on its
-own. No task holds a conversation's texts. A conversation of ordinary length is one
+neighbouring stretches multiply. So conversations are cut at every ``STRETCH`` turn
+numbers, and again at every ``STRETCH`` rows where more share these numbers (repeated or
+null ones); each stretch gives its matrix from its roles, the matrices of a conversation
+give the states at the cuts, and every stretch is then repaired between its states on its
+own. No array holds more than ``STRETCH`` texts. A conversation of ordinary length is one
 stretch, and its row holds the whole rendering; longer ones have a row for each stretch,
 whose renderings follow one another.
 
+Up to ``WIDE`` rows under the same ``STRETCH`` numbers are ranked by one task; more are
+sorted in ranges of turn, role and the first ``PREFIX`` characters of the text. Only rows
+of one turn that are equal in all of these, but not in the rest of the text, are sorted
+by one task (on disk where needed); their stretches are spread like all others.
+
 Turns are ordered by number (nulls first), then role and text; rows that repeat all of
 conversation, turn, role and text count once. Roles are compared in lower case without
 spaces around; other and null roles cost less to relabel, as any role may be right. Null
@@ -30,7 +36,7 @@ from collections.abc import Iterator
 from itertools import product
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +50,10 @@ FOLLOWS = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT
 ENDS = (ASSISTANT,)
 #: Costs: a merge of turns of one role, a merge of a turn of another role, a relabel, the same for unknown roles, an empty message.
 MERGE, MERGE_OTHER, RELABEL, UNKNOWN, INSERT = 10, 25, 20, 5, 15
-#: Turn numbers of a stretch.
+#: Turn numbers of a stretch, and rows at most.
 STRETCH = 512
+#: Rows under the turn numbers of a stretch that one task ranks, characters of the text that ranges are cut by, ranges at most.
+WIDE, PREFIX, RANGES = 8 * STRETCH, 256, 5000
 FAR = 1 << 50
 
 
@@ -167,41 +175,69 @@ def render(turns: list[tuple[int, str]], start: int, end: int, last: bool) -> tu
     return "".join(out), names, messages
 
 
-def repair(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def _ranked(turns: DataFrame, large: DataFrame, wide: int) -> DataFrame:
+    """``turns`` with ``_rank``, the number of rows before each under the same (conv_id, part), by a sort in ranges."""
+    ranges = min(RANGES, -(-large.agg(F.sum("count")).first()[0] // wide))
+    order = ["conv_id", "part", "turn", "role"]
+    dealt = turns.repartitionByRange(max(1, ranges), *order, F.substring("text", 1, PREFIX)).sortWithinPartitions(*order, "text")
+    placed = staged(dealt.withColumn("_at", F.monotonically_increasing_id()), "ordered-turns").withColumn("_range", F.shiftright("_at", 33))
+    found = placed.groupBy("conv_id", "part", "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("conv_id", "part").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    a, b = placed.alias("a"), found.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("b")
+    same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.part") == F.col("b.part")) & (F.col("a._range") == F.col("b._range"))
+    return a.join(b, same).select("a.conv_id", "a.turn", "a.role", "a.text", "a.part", (F.col("_at") - F.col("_first") + F.col("_before")).alias("_rank"))
+
+
+def stretches(turns: DataFrame, stretch: int = STRETCH, wide: int = WIDE) -> DataFrame:
+    """``conv_id``, ``part``, ``sub`` (a stretch's place, in this order) and ``turns`` (its rows in order, ``stretch`` at most)."""
+    part = F.coalesce(F.floor(F.col("turn") / stretch), F.lit(-(1 << 62))).cast("bigint")
+    own = turns.select("conv_id", "turn", "role", "text", part.alias("part"))
+    large = staged(own.groupBy("conv_id", "part").count().filter(F.col("count") > wide), "large-stretches")
+    some = not large.isEmpty()
+    a, b = own.alias("a"), F.broadcast(large).alias("b")  # one row for more than ``wide`` rows of the table
+    same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.part") == F.col("b.part"))
+    rest = (a.join(b, same, "left_anti") if some else own).distinct()
+    rank = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")) - 1
+    ranked = rest.withColumn("_rank", rank.cast("bigint"))
+    if some:
+        ranked = ranked.unionByName(_ranked(a.join(b, same, "left_semi").distinct(), large, wide))
+    sub = F.floor(F.col("_rank") / stretch).cast("bigint")
+    return ranked.groupBy("conv_id", "part", sub.alias("sub")).agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
+
+
+def repair(turns: DataFrame, stretch: int = STRETCH, wide: int = WIDE) -> DataFrame:
     """A row for every stretch: ``conv_id``, ``part`` (number of the stretch), ``n_turns``, ``n_messages`` that begin in it,
     ``steps`` (what became of each turn; a plus for each empty message), ``cost`` of the whole conversation, ``rendered``."""
-    own = turns.select("conv_id", "turn", "role", "text").distinct()
-    part = F.coalesce(F.floor(F.col("turn") / stretch), F.lit(-(1 << 62))).cast("bigint")
-    # a stretch has as many turns as turn numbers, but for turns that share one
-    parts = staged(own.groupBy("conv_id", part.alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("turns")), "stretches")
+    parts = staged(stretches(turns, stretch, wide), "stretches")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [matrix([role_code(r) for r in roles]) for roles in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))],
-                                             ["conv_id", "part", "matrix"])
+            found = [matrix([role_code(r) for r in roles]) for roles in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["conv_id", "part", "sub", "matrix"])
 
     key = [turns.schema["conv_id"], T.StructField("part", T.LongType())]
-    steps = map_rows(parts.select("conv_id", "part", F.col("turns.role")), matrices, [*key, T.StructField("matrix", T.ArrayType(T.LongType()))])
-    listed = steps.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "matrix"))).alias("steps"))
+    place = [*key, T.StructField("sub", T.LongType())]
+    steps = map_rows(parts.select("conv_id", "part", "sub", F.col("turns.role")), matrices, [*place, T.StructField("matrix", T.ArrayType(T.LongType()))])
+    listed = steps.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "sub", "matrix"))).alias("steps"))
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = tuple([] for _ in range(7))
+            out: tuple[list, ...] = tuple([] for _ in range(8))
             for conv, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 at, cost = cuts([f["matrix"] for f in found])
                 for k, f in enumerate(found):
-                    for column, value in zip(out, (conv, f["part"], k, at[k], at[k + 1], cost, k == len(found) - 1)):
+                    for column, value in zip(out, (conv, f["part"], f["sub"], k, at[k], at[k + 1], cost, k == len(found) - 1)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], batch.column(0).type), *[pa.array(c, pa.int64()) for c in out[1:6]], pa.array(out[6], pa.bool_())],
-                ["conv_id", "part", "place", "start", "end", "cost", "last"])
+                [pa.array(out[0], batch.column(0).type), *[pa.array(c, pa.int64()) for c in out[1:7]], pa.array(out[7], pa.bool_())],
+                ["conv_id", "part", "sub", "place", "start", "end", "cost", "last"])
 
-    between = map_rows(listed, states, [*key, *[T.StructField(n, T.LongType()) for n in ("place", "start", "end", "cost")],
+    between = map_rows(listed, states, [*place, *[T.StructField(n, T.LongType()) for n in ("place", "start", "end", "cost")],
                                         T.StructField("last", T.BooleanType())])
+    same = (F.col("a.part") == F.col("b.part")) & (F.col("a.sub") == F.col("b.sub"))
     a, b = parts.alias("a"), between.alias("b")
-    placed = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.part") == F.col("b.part"))).select(
+    placed = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & same).select(
         "a.conv_id", "b.place", "b.start", "b.end", "b.cost", "b.last", F.transform("a.turns", lambda t: F.struct(t["role"], t["text"])).alias("turns"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,3 +93,24 @@ def test_odd_rows(spark):
     assert messages(got[None, 0].rendered) == [["user", "x"], ["assistant", "y"]] and got[None, 0].cost == 2 * op.UNKNOWN
     assert got[2, 0].n_messages == 2 and "z" * 100_000 in got[2, 0].rendered
     assert op.repair(turns.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wide", [op.WIDE, 16])
+def test_stretches_are_bounded_under_null_and_tied_turns(spark, wide):
+    rng = random.Random(3)
+    kinds = ["user", "assistant", "tool", None]
+    rows = [(None, None, rng.choice(kinds), f"{'same start ' * 30}{k % 150}") for k in range(200)]
+    rows += [(7, 1, rng.choice(kinds), f"text {k}") for k in range(90)] + [(7, 40, "user", None), (7, 40, "user", ""), (8, 0, "user", "hello"), (8, 1, "assistant", "you")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {}
+    for r in op.repair(turns, stretch=8, wide=wide).collect():
+        got.setdefault(r.conv_id, []).append(r)
+    order = lambda x: tuple((v is not None, v) for v in x)
+    for conv in (None, 7, 8):
+        own = sorted({r[1:] for r in rows if r[0] == conv}, key=order)
+        states, cost = op.cuts([op.matrix([op.role_code(r) for _, r, _ in own])])
+        parts = sorted(got[conv], key=lambda r: r.part)
+        assert [r.part for r in parts] == list(range(len(parts)))
+        assert max(r.n_turns for r in parts) <= 8 and sum(r.n_turns for r in parts) == len(own) and {r.cost for r in parts} == {cost}
+        said = [line for _, body in messages("".join(r.rendered for r in parts)) for line in body.split("\n") if line]
+        assert said == [t for _, _, t in own if t]
