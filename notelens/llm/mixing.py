@@ -8,8 +8,10 @@ rates rounded at random, without bias, by a hash of the document's id.
 
 * Classifier: naive Bayes over marker words. Markers are the words whose counts speak
   most for a domain; they and their shares come from about ``SAMPLE`` labelled rows,
-  chosen by a hash of their id. Evidence is scaled to at most ``EVIDENCE`` words, so
-  documents of mixed text keep soft posteriors.
+  chosen by a hash of id and text: all rows of domains with few, equally many of the
+  others, at least one of each; markers are found with counts scaled up to all rows.
+  Evidence is scaled to at most ``EVIDENCE`` words, so documents of mixed text keep soft
+  posteriors.
 * Fit: projected gradient in the metric of tokens. With residuals divided by the
   domains' own tokens, a step of 1 cannot overshoot: for a posterior p, p p' <= diag(p),
   so the curvature is at most 1. A round is one aggregate of as many sums as domains
@@ -19,8 +21,8 @@ rates rounded at random, without bias, by a hash of the document's id.
 Only DataFrame functions are used. Nulls and texts without words have no tokens, the
 prior as posterior, and get a rate like any other. Rows without a label are not
 learned from; without any labelled row there are no domains, and every rate is
-max(1, least). Domains are few (``MAX_DOMAINS``; more are refused). Repeated rows get
-equal rates and copies. Outputs replace columns of the same name.
+max(1, least). A weight above 0 for a domain without labelled rows is refused. Domains
+are few (``MAX_DOMAINS``; more are refused). Repeated rows get equal rates and copies. Outputs replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from notelens.llm.tables import staged
 #: Labelled rows that the classifier is learned from, about.
 SAMPLE = 4000
 MAX_DOMAINS, MARKERS, LEAST_SUPPORT = 64, 6, 20
+#: Values of the hash that rows are sampled by.
+CELLS = 1 << 40
 EVIDENCE = 30.0
 #: Rounds of the fit at most; it stops when no domain is further than TOLERANCE of all tokens from its target, or moves
 #: less than STALLED of them (targets that no rates can meet).
@@ -65,24 +69,41 @@ def _occurrences(text: Column, word: str) -> Column:
     return found / float(len(word.encode()) + 2)
 
 
+def _shares(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """The share of each domain's rows to read: all of the small ones, equally many of each other, ``sample`` together."""
+    left, quota = float(sample), math.inf
+    for k, n in enumerate(sorted(counts.values())):
+        quota = left / (len(counts) - k)
+        if n > quota:
+            break
+        left, quota = left - n, math.inf
+    return {d: min(1.0, quota / n) for d, n in counts.items()}
+
+
 def learn(labelled: DataFrame, domain: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Classifier:
     """Learn from a table of labelled texts."""
     known = labelled.filter(F.col(domain).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.col(domain).cast("string").alias("domain"), F.col(text).alias("text"))
-    counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().limit(MAX_DOMAINS + 1).collect()}
+    cell = F.pmod(F.xxhash64("key", "text", F.lit(11)), F.lit(CELLS))
+    listed = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min(cell).alias("first")).limit(MAX_DOMAINS + 1).collect()
+    counts = {r["domain"]: r["n"] for r in listed}
     if len(counts) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     domains, total = sorted(counts), sum(counts.values())
     if not domains:
         return Classifier([], [], [], [])
-    share = min(1.0, sample / total)
-    rows = known.filter(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    share, first = _shares(counts, sample), {r["domain"]: r["first"] for r in listed}
+    bound = F.lit(0)
+    for d in domains:
+        bound = F.when(F.col("domain") == d, F.lit(max(math.ceil(share[d] * CELLS), first[d] + 1))).otherwise(bound)
+    rows = known.filter(cell < bound)
     words = (rows.select("domain", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
              .filter(F.length("word") > 1).groupBy("word", "domain").count())
     wide = staged(words.groupBy("word").agg(
-        F.sum("count").alias("n"),
-        *[F.sum(F.when(F.col("domain") == d, F.col("count")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)])
-        .filter(F.col("n") >= LEAST_SUPPORT), "marker-words")
+        F.sum("count").alias("support"),
+        *[F.sum(F.when(F.col("domain") == d, F.col("count")).otherwise(0) / F.lit(share[d])).alias(f"n{k}") for k, d in enumerate(domains)])
+        .filter(F.col("support") >= LEAST_SUPPORT)
+        .withColumn("n", sum((F.col(f"n{k}") for k in range(len(domains))), F.lit(0.0))), "marker-words")
     sums = wide.agg(F.sum("n"), *[F.sum(f"n{k}") for k in range(len(domains))]).first()
     markers: list[str] = []
     for k in range(len(domains) if sums[0] else 0):
@@ -97,10 +118,10 @@ def learn(labelled: DataFrame, domain: str = "lang", text: str = "text", key: st
     found = {r["domain"]: r for r in stats}
     log_prior, log_share = [], []
     for d in domains:
-        r = found.get(d)
+        r = found[d]
         log_prior.append(math.log(counts[d] / total))
-        own = [r[f"m{k}"] if r else 0.0 for k in range(len(markers))]
-        other = max(0.0, (r["tokens"] if r else 0.0) - sum(own))
+        own = [r[f"m{k}"] for k in range(len(markers))]
+        other = max(0.0, r["tokens"] - sum(own))
         whole = sum(own) + other + len(markers) + 1
         log_share.append([math.log((c + 1) / whole) for c in [*own, other]])
     return Classifier(domains, markers, log_prior, log_share)
@@ -191,6 +212,16 @@ def fit(members: DataFrame, n_domains: int, weights: list[float] | None = None,
     return result
 
 
+def _listed(weights: dict[str, float] | None, model: Classifier) -> list[float] | None:
+    """The weights in the order of the domains (0 where none is named)."""
+    if weights is None:
+        return None
+    missing = sorted(d for d, w in weights.items() if w and d not in model.domains)
+    if missing:
+        raise ValueError(f"no labelled row of domains with a weight: {missing}")
+    return [float(weights.get(d, 0.0)) for d in model.domains]
+
+
 def copies(rate: Column, key: Column) -> Column:
     """Whole copies whose expected number is the rate."""
     u = (F.xxhash64(key, F.lit(23)) / F.lit(2.0 ** 64)) + 0.5
@@ -201,8 +232,8 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dic
         least: float = 0.0, keep_all: bool = False) -> DataFrame:
     """``doc_id``, ``tokens``, ``posterior``, ``rate`` and ``copies`` of every row of ``docs``."""
     model = learn(labelled, domain)
+    listed = _listed(weights, model)
     members = staged(membership(docs.select("doc_id", "text"), model).select("doc_id", "tokens", "posterior"), "membership")
-    listed = None if weights is None else [float(weights.get(d, 0.0)) for d in model.domains]
     found = fit(members, len(model.domains), listed, power, least, keep_all)
     return (members.withColumn("rate", found.rate())
             .withColumn("copies", copies(F.col("rate"), F.coalesce("doc_id", F.lit(-1)))))
@@ -215,10 +246,10 @@ def remix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: d
     The rows are staged with their posterior, so that no text is read twice or shuffled.
     """
     model, names = learn(labelled, domain), docs.columns
+    listed = _listed(weights, model)
     row = F.struct(*[F.col(n) for n in names])
     members = staged(membership(docs.select(row.alias("_row"), F.col("text").alias("_text")), model, "_text")
                      .select("_row", "tokens", "posterior"), "membership")
-    listed = None if weights is None else [float(weights.get(d, 0.0)) for d in model.domains]
     found = fit(members, len(model.domains), listed, power, least, keep_all)
     rated = members.select("_row", found.rate().alias("_rate"))
     number = copies(F.col("_rate"), F.coalesce(F.col("_row.doc_id"), F.lit(-1)))

@@ -79,3 +79,32 @@ def test_weights_are_checked(documents):
     docs = documents([(1, "a b")])
     with pytest.raises(ValueError):
         op.mix(docs, docs, weights={"en": -1.0})
+
+
+def test_rare_domains_are_learned_from_large_tables(documents):
+    """Domains of few rows, also under one null id, among more rows of another than the sample has."""
+    rows = [(k, "the cat of the town " * 3) for k in range(900)] + [(900 + k, "le chat de la ville " * 30) for k in range(2)]
+    docs = documents(rows + [(None, "die katze in der stadt " * 30)] * 2)
+    train = docs.withColumn("lang", F.when(F.col("text").startswith("le"), "fr").when(F.col("text").startswith("die"), "de").otherwise("en"))
+    model = op.learn(train, sample=40)
+    assert model.domains == ["de", "en", "fr"]
+    for start, own in (("die", 0), ("the", 1), ("le", 2)):
+        assert op.membership(docs.filter(F.col("text").startswith(start)), model).first().posterior[own] > 0.9
+    members = op.membership(docs, model)
+    found = op.fit(members, 3, [0.3, 0.3, 0.4])
+    assert np.allclose(found.reached, found.targets, rtol=1e-3)
+
+
+def test_shares_fill_the_sample():
+    counts = {"a": 10, "b": 1000, "c": 100_000, "d": 3}
+    share = op._shares(counts, 400)
+    assert share["a"] == share["d"] == 1 and abs(sum(share[d] * n for d, n in counts.items()) - 400) < 1e-6
+    assert abs(share["b"] * 1000 - share["c"] * 100_000) < 1e-6 and set(op._shares(counts, 200_000).values()) == {1.0}
+
+
+def test_weights_of_domains_without_labels_are_refused(documents):
+    docs = documents([(1, "a b")])
+    for mixed in (op.mix, op.remix):
+        with pytest.raises(ValueError):
+            mixed(docs, docs, weights={"en": 0.5, "fr": 0.5})
+    assert op.mix(docs, docs, weights={"en": 0.5, "fr": 0.0}).count() == 1
