@@ -58,5 +58,7 @@ def running_mean(losses: DataFrame) -> DataFrame:
     upto = Window.partitionBy(*group, "_stretch").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("_sum_before") + F.coalesce(F.sum("loss").over(upto), F.lit(0.0))
     seen = F.col("_n_before") + F.count("loss").over(upto)
-    return placed.join(earlier, [*group, "_stretch"]).withColumn("mean_loss", total / F.nullif(seen, F.lit(0))).drop(
-        "_stretch", "_sum_before", "_n_before")
+    a, b = placed.alias("a"), earlier.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*group, "_stretch")]
+    joined = a.join(b, same).select("a.*", "_sum_before", "_n_before")
+    return joined.withColumn("mean_loss", total / F.nullif(seen, F.lit(0))).drop("_stretch", "_sum_before", "_n_before")
