@@ -9,6 +9,7 @@ from notelens.functions import vectors as ve
 from notelens.functions.hashing import uniform
 from notelens.operators import evaluation as ev
 from notelens.operators import examples as ex
+from notelens.operators import neighbours as ne
 from notelens.operators import scoring as sc
 from notelens.operators import vocabulary as vo
 from notelens.operators import windows as wi
@@ -276,6 +277,25 @@ def nearest_neighbours(spark, sf):
     return near.select("vec_id", F.col("rank").cast("bigint").alias("rank"), "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
+@register("g13_exact_neighbours", """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS mu FROM embeddings WHERE embedding IS NOT NULL)
+SELECT vec_id, rank, neighbour, c AS cosine FROM (
+  SELECT vec_id, neighbour, c, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbour) AS rank FROM (
+    SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.mu, b.mu), 6) AS c
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)) WHERE rank <= 5""")
+def exact_neighbours(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    index = ne.build_index(rows, "vec_id", "embedding")
+    found = ne.exact_neighbours(index, rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("key")))
+    return found.withColumnRenamed("key", "vec_id")
+
+
+@register("g13_neighbours_of_all")
+def neighbours_of_all(spark, sf):
+    index = ne.build_index(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return ne.neighbours(index).withColumnRenamed("key", "vec_id")
+
+
 @register("g14_blend_sweep", s.with_(f"""
 SELECT row_idx, weight, lf_idx, round(exp(score - top) / sum(exp(score - top)) OVER (PARTITION BY row_idx, weight), 5) AS p FROM (
   SELECT *, max(score) OVER (PARTITION BY row_idx, weight) AS top FROM (
