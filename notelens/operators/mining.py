@@ -1,10 +1,10 @@
 """Mining labelled examples: dictionary scans over documents, contexts, sampling, splits.
 
 A scan of every document with every dictionary entry is turned into an
-equality join: documents yield the phrases that could be an entry, and these
-meet the dictionary by text. Phrases are compared with runs of white space as
-one space. An entry matches between boundaries, i.e. at white space or where a
-word character meets another character.
+equality join on anchors: two neighbouring parts of an entry, which documents
+meet by hash before any phrase is built. Phrases are compared with runs of white
+space as one space. An entry matches between boundaries, i.e. at white space or
+where a word character meets another character.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from notelens.functions import text as tx
 from notelens.functions.hashing import uniform
 from notelens.functions.text import let
-from notelens.operators.scale import fits_broadcast, first_k_in_group, rank_in_group, sized, stage
+from notelens.operators.filters import key_filter, may_match
+from notelens.operators.scale import fits_broadcast, first_k_in_group, lookup_join, rank_in_group, sized, stage
 from notelens.sources.spread import spread
 
 SEGMENTS = rf"[{tx.WORD_CHARS}]+|[^{tx.WORD_CHARS}]+"
@@ -79,65 +80,122 @@ def _segments(word: Column) -> Column:
     return F.regexp_extract_all(word, F.lit(SEGMENTS), F.lit(0))
 
 
-def _phrases(words: Column, n: int, max_segments: int, within_last: str | None = None) -> Column:
-    """All phrases of ``n`` words as ``struct(at, first, last, phrase)``.
+#: Kinds of anchors: a lone part of a one-word entry, two neighbouring parts of one, parts on both sides of a word break.
+LONE, PAIR, BREAK = "lone", "pair", "break"
+FIRST = rf"\A(?:[{tx.WORD_CHARS}]+|[^{tx.WORD_CHARS}]+)"
+# The look-behind keeps a search from trying every place inside of a part.
+LAST = rf"(?<![{tx.WORD_CHARS}])[{tx.WORD_CHARS}]+\z|(?<![^{tx.WORD_CHARS}])[^{tx.WORD_CHARS}]+\z"
 
-    ``first`` is the first segment taken of the first word and ``last`` the
-    number of segments taken of the last one; no word of the dictionary has
-    more than ``max_segments``, so no longer part of a word is tried. With
-    ``within_last`` only phrases are built whose last word contains that text.
-    """
-    none = F.array().cast("array<struct<at:int,first:int,last:int,phrase:string>>")
-    fits = lambda word: F.lit(True) if within_last is None else F.contains(word, F.lit(within_last))
-    if n == 1:
-        def spans(word: Column, at: Column) -> Column:
-            return let(_segments(word), lambda seg: F.flatten(F.transform(
-                F.sequence(F.lit(0), F.size(seg) - 1),
-                lambda i: F.transform(
-                    F.sequence(i + 1, F.least(F.size(seg), i + max_segments)),
-                    lambda j: F.struct(at.alias("at"), i.alias("first"), j.alias("last"),
-                                       F.array_join(F.slice(seg, i + 1, j - i), "").alias("phrase")),
-                ),
-            )))
-
-        return F.flatten(F.transform(words, lambda w, at: F.when(fits(w), spans(w, at)).otherwise(none)))
-
-    def spans_over(all_words: Column, word: Column, at: Column) -> Column:
-        middle = F.array_join(F.slice(all_words, at + 2, n - 2), " ") if n > 2 else None
-        return let(_segments(word), lambda head: let(_segments(F.get(all_words, at + (n - 1))), lambda tail: F.flatten(F.transform(
-            F.sequence(F.greatest(F.lit(0), F.size(head) - max_segments), F.size(head) - 1),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.size(tail), F.lit(max_segments))),
-                lambda j: F.struct(
-                    at.alias("at"), i.alias("first"), j.alias("last"),
-                    F.concat_ws(" ", F.array_join(F.slice(head, i + 1, F.size(head)), ""), *([middle] if n > 2 else []),
-                                F.array_join(F.slice(tail, 1, j), "")).alias("phrase"),
-                ),
-            ),
-        ))))
 
-    return let(words, lambda ws: F.flatten(F.transform(
-        ws, lambda w, at: F.when(
-            (at + n <= F.size(ws)) & fits(F.get(ws, at + (n - 1))), spans_over(ws, w, at)).otherwise(none))))
+def _anchor(kind: str, a: Column, b: Column) -> Column:
+    return F.xxhash64(F.lit(kind), a, b)
+
 
+def with_anchors(entries: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``entries`` with ``kind``, ``key`` and ``place`` of the anchor of each, and the parts of its first and last word.
 
-def scan(docs: DataFrame, entries: DataFrame, ignore_case: bool = True, within_last: str | None = None) -> DataFrame:
+    An entry can occur only where its anchor does: two neighbouring parts of it, or its one part. Of several the one
+    with the rarest part is taken by ``counts(segment, n)``, else the longest; ties go to the first.
+    """
+    words = F.split("phrase", " ")
+    part = lambda pattern, word: F.regexp_extract(word, pattern, 0)
+    option = lambda kind, place, a, b: F.struct(
+        F.lit(kind).alias("kind"), place.alias("place"), a.alias("a"), b.alias("b"))
+    none = F.lit("")
+    inside = let(_segments(F.col("phrase")), lambda seg: F.when(
+        F.size(seg) == 1, F.array(option(LONE, F.lit(0), F.get(seg, 0), none))).otherwise(F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(seg) - 2, F.lit(0))), lambda i: option(PAIR, i, F.get(seg, i), F.get(seg, i + 1)))))
+    breaks = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_words") - 2, F.lit(0))), lambda j: option(
+        BREAK, j, part(LAST, F.get(words, j)), part(FIRST, F.get(words, j + 1))))
+    options = F.when(F.col("n_words") == 1, inside).otherwise(breaks)
+    if counts is None:
+        best = F.array_min(F.transform(options, lambda o: F.struct(
+            (-F.length(o["a"]) - F.length(o["b"])).cast("bigint").alias("weight"), o["place"].alias("place"), o.alias("option"))))
+        chosen = entries.withColumn("_best", best)
+    else:
+        named = lambda side: counts.select(F.col("segment").alias(side), F.col("n").alias(f"n_{side}"))
+        tried = entries.select("lf", "phrase", F.explode(options).alias("option")).select(
+            "*", F.col("option.a").alias("a"), F.nullif(F.col("option.b"), none).alias("b"))
+        met = lookup_join(lookup_join(tried, named("a"), "a", "left", "n_a"), named("b"), "b", "left", "n_b")
+        rare = F.least(F.coalesce("n_a", F.lit(0)), F.when(F.col("b").isNotNull(), F.coalesce("n_b", F.lit(0))))
+        rank = F.struct(rare.cast("bigint").alias("weight"), F.col("option.place").alias("place"), F.col("option"))
+        chosen = entries.join(met.groupBy("lf", "phrase").agg(F.min(rank).alias("_best")), ["lf", "phrase"])
+    found = F.col("_best.option")
+    n_parts = lambda i: F.size(_segments(F.get(words, i)))
+    return chosen.select(
+        *entries.columns, found["kind"].alias("kind"), found["place"].alias("place"),
+        F.xxhash64(found["kind"], found["a"], found["b"]).alias("key"),
+        n_parts(F.lit(0)).alias("n_first"), n_parts(F.col("n_words") - 1).alias("n_last"))
+
+
+def anchor_places(words: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """A row for every place of ``words(doc_id, words)`` where an anchor may be: ``words``, ``at``, ``seg``, ``key``.
+
+    No phrase is built here; only the two parts on both sides of a break, or the parts of a word, are hashed.
+    """
+    rows = words.select("doc_id", "words", F.posexplode("words").alias("at", "word"))
+    following = F.get("words", F.col("at") + 1)
+    at_break = _anchor(BREAK, F.regexp_extract("word", LAST, 0), F.regexp_extract(following, FIRST, 0))
+    if list(kinds) == [BREAK]:
+        return rows.where(following.isNotNull()).select("doc_id", "words", "at", F.lit(0).alias("seg"), at_break.alias("key"))
+    key = lambda seg, k: F.struct(seg.alias("seg"), k.alias("key"))
+    tried = []
+    if BREAK in kinds:
+        tried.append(F.when(following.isNotNull(), F.array(key(F.lit(0), at_break))).otherwise(
+            F.array().cast("array<struct<seg:int,key:bigint>>")))
+    if LONE in kinds:
+        tried.append(F.transform(_segments(F.col("word")), lambda x, i: key(i, _anchor(LONE, x, F.lit("")))))
+    if PAIR in kinds:
+        tried.append(let(_segments(F.col("word")), lambda seg: F.transform(
+            F.slice(seg, 1, F.size(seg) - 1), lambda x, i: key(i, _anchor(PAIR, x, F.get(seg, i + 1))))))
+    return rows.select("doc_id", "words", "at", F.inline(F.concat(*tried)))
+
+
+def _held(met: DataFrame, offset: Column) -> DataFrame:
+    """Hits among ``met`` rows: places whose words, from number ``offset`` of the text on, are the whole entry."""
+    start = F.col("at") - F.col("place")
+    one = F.col("n_words") == 1
+    word = lambda i: _segments(F.get("words", start - offset + i))
+    first = F.when(one, F.col("seg") - F.col("place")).otherwise(F.size(word(F.lit(0))) - F.col("n_first"))
+    start = F.when(one, F.col("at")).otherwise(start)
+    placed = met.select("*", start.cast("int").alias("_start"), first.alias("_from")).where("_start >= 0 and _from >= 0")
+    parts = lambda i: _segments(F.get("words", F.col("_start") - offset + i))
+    end = F.col("n_words") - 1
+    # bounds hold for rows that the tests of places drop, too: Spark may compare first
+    middle = F.slice("words", F.greatest(F.col("_start") - offset + 2, F.lit(1)), F.greatest(end - 1, F.lit(0)))
+    rest = F.when(one, F.array().cast("array<string>")).otherwise(
+        F.concat(middle, F.array(F.array_join(F.slice(parts(end), 1, F.col("n_last")), ""))))
+    text = F.array_join(F.concat(F.array(F.array_join(F.slice(parts(F.lit(0)), F.greatest(F.col("_from") + 1, F.lit(1)), F.col("n_first")), "")), rest), " ")
+    inside = F.col("_start") - offset + end < F.size("words")
+    last = F.when(one, F.col("_from") + F.col("n_first")).otherwise(F.col("n_last"))
+    return placed.where(inside).where(text == F.col("phrase")).select(
+        "doc_id", "lf", F.col("_start").alias("at"), "n_words", F.col("_from").cast("int").alias("first"), last.cast("int").alias("last"), "priority")
+
+
+def scan(docs: DataFrame, entries: DataFrame, ignore_case: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """``hits(doc_id, lf, at, n_words, first, last, priority)``: every place an entry occurs.
 
-    ``docs(doc_id, text)``; ``entries`` must be staged. Only the phrases are
-    compared, so a small dictionary costs no shuffle at all and a large one a
-    shuffle of phrases, never pairs of documents and entries. ``within_last``
-    names a text that the last word of every entry contains.
+    ``docs(doc_id, text)``; ``entries`` must be staged. Entries are found by their anchors (``with_anchors``): anchors
+    of the text meet those of the dictionary by hash, and only there the words are compared with the whole entry. A
+    dictionary that fits is broadcast, and the text is not shuffled at all. Of a larger one a Bloom filter goes to the
+    text first; what passes it is shuffled with the few words around it, anchors that are very frequent split off.
     """
-    shape = entries.agg(
-        F.collect_set("n_words"), F.max(F.array_max(F.transform(F.split("phrase", " "), lambda w: F.size(_segments(w)))))
-    ).first()
+    keyed = stage(with_anchors(entries, counts), "anchors")
+    kinds, longest = keyed.agg(F.collect_set("kind"), F.max("n_words")).first()
     text = F.lower("text") if ignore_case else F.col("text")
     words = docs.select("doc_id", tx.split_spaces(text).alias("words"))
-    lookup = entries.select("phrase", "lf", "n_words", "priority")
-    lookup = F.broadcast(lookup) if fits_broadcast(lookup) else lookup
-    phrases = F.concat(*[_phrases(F.col("words"), n, shape[1] or 1, within_last) for n in sorted(shape[0])])
-    return words.select("doc_id", F.inline(phrases)).join(lookup, "phrase").drop("phrase")
+    places = anchor_places(words, sorted(kinds) or [BREAK])
+    if fits_broadcast(keyed):
+        return _held(places.join(F.broadcast(keyed), "key"), F.lit(0))
+    # the words around an anchor: no entry reaches farther
+    low = F.greatest(F.col("at") - (longest - 1), F.lit(0))
+    around = F.slice("words", low + 1, F.col("at") - low + longest)
+    near = may_match(places, "key", key_filter(stage(keyed.select("key").distinct(), "keys"), "key"))
+    near = stage(near.select("doc_id", "at", "seg", "key", low.alias("low"), around.alias("words")), "anchored")
+    rest = [c for c in keyed.columns if c != "key"]
+    packed = stage(keyed.groupBy("key").agg(F.collect_list(F.struct(*rest)).alias("_entries")), "packed")
+    met = lookup_join(near, packed, "key").select(*near.columns, F.inline("_entries"))
+    return _held(met, F.col("low"))
 
 
 def choose(hits: DataFrame) -> DataFrame:
@@ -396,7 +454,7 @@ def tokenize_with_headers(contexts: DataFrame, sections: DataFrame, key: str = "
     """
     docs = spread(contexts.select(F.col(key).alias("doc_id"), "text"), "doc_id")
     entries = stage(header_entries(sections), "header-entries")
-    chosen = choose(scan(docs, entries, within_last=":")).select("doc_id", "kept")
+    chosen = choose(scan(docs, entries)).select("doc_id", "kept")
     both = docs.select("doc_id", tx.split_spaces(F.col("text")).alias("words")).join(chosen, "doc_id", "left")
     none = F.array().cast("array<struct<at:int,first:int,n_words:int,last:int>>")
     both = both.withColumn("kept", F.coalesce("kept", none))

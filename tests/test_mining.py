@@ -1,9 +1,11 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from notelens.operators import mining as mi
+from notelens.operators.scale import stage
 
 ALPHABET = ["lung", "heart", "x", "ray", "mass", "x-ray", "(lung)", "ray.", "heart,", "\n", "-"]
 LFS = ["lung mass;heart", "x ray;ray", "x", "heart x mass;mass"]
@@ -117,14 +119,39 @@ def test_header_before_a_very_long_word(spark):
 
 
 def test_long_words_do_not_multiply(spark):
-    """Two words of 400 parts: only parts as long as the dictionary's words are tried."""
+    """Two words of 400 parts: a hash for each neighbouring pair, no phrases."""
     text = "-".join("ab" for _ in range(400)) + " " + "-".join("cd" for _ in range(400))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     entries = mi.long_form_entries(spark.createDataFrame([("ab cd",), ("b-ab cd-c",), ("zz",)], "lf string"))
-    words = mi.tx.split_spaces(F.col("text"))
-    tried = docs.select(F.size(mi._phrases(words, 2, 3)).alias("n")).first().n
-    assert tried == 9
-    from notelens.operators.scale import stage
-
+    words = docs.select("doc_id", mi.tx.split_spaces(F.col("text")).alias("words"))
+    assert mi.anchor_places(words, [mi.BREAK]).count() == 1
+    assert mi.anchor_places(words, [mi.BREAK, mi.PAIR]).count() == 1 + 2 * 798
     hits = mi.scan(docs, stage(entries, "entries")).collect()
     assert {r.lf for r in hits} == {"ab cd"} and len(hits) == 1
+
+
+@pytest.mark.parametrize("hot", [1e-4, 0.5])
+def test_large_dictionary_is_filtered_and_shuffled(spark, monkeypatch, hot):
+    from notelens.operators import scale
+
+    rows, docs = corpus(spark, 120, 3)
+    longer = spark.createDataFrame([(lf,) for lf in [*LFS, "ray heart x mass;x-ray (lung);heart, x-ray ray.", "-;x-"]], "lf string")
+    entries = stage(mi.long_form_entries(longer), "entries")
+    counts = spark.createDataFrame([("x", 900), ("ray", 500), ("heart", 3), ("-", 1)], "segment string, n long")
+    key = lambda r: tuple(map(str, r))
+    want = sorted(map(tuple, mi.scan(docs, entries).collect()), key=key)
+    assert {r[1] for r in want} >= {"-;x-", "x"} and len(want) > 300
+    assert sorted(map(tuple, mi.scan(docs, entries, counts=counts).collect()), key=key) == want
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 200)
+    monkeypatch.setattr(scale, "HOT_SHARE", hot)
+    for given in (None, counts):
+        assert sorted(map(tuple, mi.scan(docs, entries, counts=given).collect()), key=key) == want
+
+
+def test_key_filter(spark):
+    from notelens.operators import filters
+
+    listed = spark.range(0, 20_000, 2).select(F.xxhash64("id").alias("k"))
+    rows = spark.range(0, 20_000).select("id", F.xxhash64("id").alias("k"))
+    left = {r.id for r in filters.may_match(rows, "k", filters.key_filter(listed, "k")).collect()}
+    assert left >= set(range(0, 20_000, 2)) and len(left) < 10_500
