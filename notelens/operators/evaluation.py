@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,17 +119,20 @@ def chance_statistics(examples: DataFrame, senses: DataFrame) -> DataFrame:
 def bootstrap(outcomes: DataFrame, iterations: int = 100, share: float = 0.8, seed: int = 0) -> DataFrame:
     """Metrics on random subsets, one row per iteration, in one pass over ``(row_idx, sf, target, pred, loss)``.
 
-    ``accuracy``, ``weighted_f1``, ``macro_f1`` (means over short forms) and ``log_loss``, with the rows ``n``. Every row
-    adds to the confusion cells of the iterations that keep it; the partial sums are combined before the shuffle, so no
-    row is sent once per iteration.
+    ``accuracy``, ``weighted_f1``, ``macro_f1`` (means over short forms) and ``log_loss``, with the rows ``n``. A row's part
+    in all iterations is one vector of zeros and ones, and one of its losses; these are summed by confusion cell. No row
+    becomes one for each iteration, and only cells are shuffled.
     """
-    kept = F.transform(
-        F.sequence(F.lit(0), F.lit(iterations - 1)),
-        lambda i: F.struct(i.alias("iteration"), uniform("row_idx", i, seed=seed).alias("u")),
-    )
-    rows = outcomes.select("sf", "target", "pred", "loss", F.inline(kept)).where(F.col("u") < share)
-    cells = rows.groupBy("iteration", "sf", "target", "pred").agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss"))
-    n, none, zero = F.col("n"), F.lit(0).cast("bigint"), F.lit(0.0)
+    every = F.sequence(F.lit(0), F.lit(iterations - 1))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    drawn = outcomes.select("sf", "target", "pred", F.coalesce("loss", zero).alias("loss"), F.transform(
+        every, lambda i: F.when(uniform("row_idx", i, seed=seed) < share, one).otherwise(zero)).alias("kept"))
+    lost = F.transform("kept", lambda k: F.when(k > 0, F.col("loss")).otherwise(zero))
+    total = vector_to_array(Summarizer.sum(array_to_vector(F.concat("kept", lost))))
+    sums = drawn.groupBy("sf", "target", "pred").agg(total.alias("total"))
+    cells = sums.select("sf", "target", "pred", F.inline(F.transform(every, lambda i: F.struct(
+        i.alias("iteration"), F.round(F.get("total", i)).cast("bigint").alias("n"), F.get("total", i + iterations).alias("loss"))))).where("n > 0")
+    n, none = F.col("n"), F.lit(0).cast("bigint")
     hits = F.when(F.col("target") == F.col("pred"), n).otherwise(none)
     sides = F.inline(F.array(
         F.struct(F.col("target").alias("lf_idx"), n.alias("support"), none.alias("predicted"), hits.alias("hits"), F.col("loss").alias("loss")),

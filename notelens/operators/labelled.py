@@ -165,4 +165,4 @@ def prepare_labelled(rows: DataFrame, senses: DataFrame, window: int = 10, black
     ).drop("tokens")
     unique = stage(first_of_each(cut, ["target_lf", "tokenized_context"], "row_idx"), "labelled")
     done = number_senses(with_several_senses(unique)).withColumnRenamed("row_idx", "_source")
-    return number_rows(stage(done, "labelled-done"), ["_source"], F.col("_source"), "row_idx").drop("_source")
+    return number_rows(stage(done, "labelled-done"), ["_source"], "row_idx").drop("_source")

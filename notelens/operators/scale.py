@@ -3,6 +3,7 @@
 * ``stage``        writes a table once and reads it back, so that several users
                    of an expensive result do not recompute it and a lost
                    executor costs one stage only.
+* ``stage_by``     the same, bucketed and sorted by a key.
 * ``lookup_join``  joins a keyed table; it broadcasts it when its measured size
                    allows, else splits the hottest keys off.
 * ``number_rows``, ``running_total``, ``carry_last``
@@ -17,23 +18,19 @@ import math
 import uuid
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelens.functions.hashing import uniform
 from notelens.session import stage_dir
 
 #: Largest measured payload that is broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 #: Rows one task may order in a window.
 ROWS_PER_TASK = 200_000
-#: Most buckets an ordering is cut into; also bounds the rows of the bucket table. Beyond ROWS_PER_TASK * MAX_BUCKETS rows
-#: a task sorts more rows (windows sort on disk).
+#: Most ranges an order is cut into; also bounds the rows of the table of ranges. Beyond ROWS_PER_TASK * MAX_BUCKETS rows
+#: a task sorts more rows (sorts spill to disk).
 MAX_BUCKETS = 100_000
-#: Positions that the buckets' edges are taken from, for each bucket.
-EDGE_SAMPLE = 50
 #: A key is hot when it holds at least this share of the total weight, so at
 #: most 1 / HOT_SHARE keys can be hot.
 HOT_SHARE = 1e-4
@@ -47,6 +44,20 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, key: str, order: str, name: str = "stage") -> DataFrame:
+    """As ``stage``, but bucketed by ``key`` and sorted: windows and groups by ``key`` then need no exchange.
+
+    The buckets are as many as the session has shuffle partitions. Where ``df`` comes out of a grouping by ``key``, or out
+    of such a table, its tasks hold whole buckets already and nothing is moved for the write.
+    """
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{stage_dir(spark)}/{unique}"
+    df.write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key, order).saveAsTable(unique)
+    return spark.table(unique)
+
+
 def _cell_bytes(field: T.StructField) -> Column:
     cell = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
@@ -106,80 +117,79 @@ def lookup_join(
     return found.select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in payload])
 
 
-def _with_bucket(df: DataFrame, position: Column) -> DataFrame:
-    """Cut the order given by the number ``position`` into even, ordered buckets."""
-    placed = df.withColumn("_position", position.cast("double"))
-    rows = placed.count()
-    buckets = min(MAX_BUCKETS, math.ceil(rows / ROWS_PER_TASK))
-    if buckets <= 1:
-        return placed.withColumn("_bucket", F.lit(0.0)).drop("_position")
-    shares = [i / buckets for i in range(1, buckets)]
-    # edges only balance the buckets; rows of one position stay together
-    share = min(1.0, buckets * EDGE_SAMPLE / rows)
-    sample = placed.where(F.col("_position").isNotNull() & (uniform(*df.columns, seed="edges") <= share)).select("_position")
-    known = sorted(r[0] for r in sample.collect())
-    points = [known[int(s * len(known))] for s in shares] if known else []
-    splits = [-math.inf, *sorted(set(points)), math.inf]
-    return Bucketizer(splits=splits, inputCol="_position", outputCol="_bucket").transform(placed).drop("_position")
-
-
-def running_total(
-    df: DataFrame, order: Sequence[str], position: Column, value: Column, name: str, inclusive: bool = False
-) -> DataFrame:
-    """Add the total of ``value`` over all rows before (or up to) each row.
+def _order(df: DataFrame, order: Sequence[str | Column]) -> list[Column]:
+    """``order``, ties by a hash of the row, so that equal keys need not share a task and results repeat."""
+    return [F.col(c) if isinstance(c, str) else c for c in order] + [F.xxhash64(*df.columns)]
 
-    ``position`` is a number that never decreases along ``order``. Sums per
-    bucket are added up first (at most ``MAX_BUCKETS`` rows); each bucket then
-    only orders its own rows.
+
+def _ranges(df: DataFrame, order: Sequence[str | Column]) -> tuple[int, DataFrame]:
+    """How many ranges, and ``df`` cut into them and sorted inside of each.
+
+    The ranges are cut from a sample of the keys themselves, so any columns will do, of any types, falling or with nulls;
+    every task sorts one range of about ``ROWS_PER_TASK`` rows. ``df`` should be staged: it is read for its size, for the
+    sample and once more. Small tables are one range.
     """
-    placed = _with_bucket(df, position).withColumn("_value", value)
+    ranges = max(1, min(MAX_BUCKETS, math.ceil(df.count() / ROWS_PER_TASK)))
+    keys = _order(df, order)
+    cut = df.repartitionByRange(ranges, *keys) if ranges > 1 else df.repartition(1)
+    return ranges, cut.sortWithinPartitions(*keys)
+
+
+def in_order(df: DataFrame, order: Sequence[str | Column], name: str = "ordered") -> DataFrame:
+    """``df`` with ``_bucket`` and ``_place``: ranges of the order, and places inside of them; written if there are several."""
+    ranges, placed = _ranges(df, order)
+    # the id counts the rows of a task from its number times 2^33 on
+    wide = F.lit(1 << 33).cast("bigint")
+    numbered = placed.withColumn("_id", F.monotonically_increasing_id()).select(
+        *df.columns, F.floor(F.col("_id") / wide).alias("_bucket"), (F.col("_id") % wide).alias("_place"))
+    return stage(numbered, name) if ranges > 1 else numbered
+
+
+def _before(column: str) -> Column:
+    window = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+
+def running_total(df: DataFrame, order: Sequence[str | Column], value: Column, name: str, inclusive: bool = False) -> DataFrame:
+    """Add the total of ``value`` over all rows before (or up to) each row along ``order``.
+
+    Sums per range are added up first (at most ``MAX_BUCKETS`` rows); each range then only adds up its own rows.
+    """
+    placed = in_order(df.withColumn("_value", value), order)
     sums = placed.groupBy("_bucket").agg(F.sum("_value").alias("_sum"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    offsets = sums.select("_bucket", _before("_sum").alias("_offset"))
     end = 0 if inclusive else -1
-    within = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    within = Window.partitionBy("_bucket").orderBy("_place").rowsBetween(Window.unboundedPreceding, end)
     return (
         placed.join(F.broadcast(offsets), "_bucket")
         .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_value").over(within), F.lit(0)))
-        .drop("_bucket", "_value", "_offset")
+        .drop("_bucket", "_place", "_value", "_offset")
     )
 
 
-def number_rows(df: DataFrame, order: Sequence[str | Column], position: Column, name: str, start: int = 0) -> DataFrame:
-    """Number all rows along ``order`` (a total order), first row = ``start``."""
-    placed = _with_bucket(df, position)
+def number_rows(df: DataFrame, order: Sequence[str | Column], name: str, start: int = 0) -> DataFrame:
+    """Number all rows along ``order``, first row = ``start``: places in a range behind the sizes of earlier ranges."""
+    placed = in_order(df, order)
     sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_bucket").orderBy(*order)
-    return (
-        placed.join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, F.col("_offset") + F.row_number().over(within) - 1 + start)
-        .drop("_bucket", "_offset")
-    )
+    offsets = sizes.select("_bucket", _before("_n").alias("_offset"))
+    return placed.join(F.broadcast(offsets), "_bucket").withColumn(
+        name, F.col("_offset") + F.col("_place") + F.lit(start)).drop("_bucket", "_place", "_offset")
 
 
-def carry_last(df: DataFrame, order: Sequence[str], position: Column, value: str, name: str) -> DataFrame:
+def carry_last(df: DataFrame, order: Sequence[str | Column], value: str, name: str) -> DataFrame:
     """Add the last non-null ``value`` of all earlier rows along ``order``."""
-    placed = _with_bucket(df, position)
-    key = F.struct(*order)
-    lasts = placed.where(F.col(value).isNotNull()).groupBy("_bucket").agg(F.max_by(value, key).alias("_last"))
-    buckets = placed.groupBy("_bucket").agg(F.lit(1).alias("_one")).join(lasts, "_bucket", "left")
+    placed = in_order(df, order)
+    lasts = placed.groupBy("_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_place"))).alias("_last"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = buckets.select("_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    within = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lasts.select("_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    within = Window.partitionBy("_bucket").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.join(F.broadcast(earlier), "_bucket")
         .withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(within), F.col("_carried")))
-        .drop("_bucket", "_carried")
+        .drop("_bucket", "_place", "_carried")
     )
 
 
-def text_position(text: Column) -> Column:
-    """A number that never decreases along the byte order of ``text`` (its first six bytes)."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(text, "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
-
-
 def rank_in_group(
     df: DataFrame, group: Sequence[str], draw: str, ties: Sequence[str], name: str
 ) -> DataFrame:

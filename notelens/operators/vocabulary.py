@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from notelens.functions import text as tx
 from notelens.functions.hashing import uniform
-from notelens.operators.scale import (
-    lookup_join, number_rows, running_total, sized, stage, text_position,
-)
+from notelens.operators.scale import lookup_join, number_rows, running_total, sized, stage
 
 #: Order of the kinds in a vocabulary.
 KIND_RANK = {"pad": 0, "token": 1, "section": 2, "category": 3}
@@ -169,12 +167,12 @@ def build_vocabulary(tokens: DataFrame) -> DataFrame:
         "token", F.col("n").alias("support"), "kind", "first.doc_id", "first.pos"
     )
     n_words = words.count()
-    words = number_rows(words, ["doc_id", "pos"], F.col("doc_id"), "id", 1)
+    words = number_rows(words, ["doc_id", "pos"], "id", 1)
     out = words.select("id", "token", "support", "kind")
     start = 1 + n_words
     for kind in ("section", "category"):
         meta = entries.where(F.col("kind") == kind).select("token", F.lit(0).cast("bigint").alias("support"), "kind")
-        numbered = number_rows(meta, ["token"], text_position(F.expr("substr(token, instr(token, '=') + 1)")), "id", start)
+        numbered = number_rows(meta, ["token"], "id", start)
         out = out.unionByName(numbered.select("id", "token", "support", "kind"))
         start += meta.count()
     pad = tokens.sparkSession.range(1).select(
@@ -202,7 +200,7 @@ def id_stream(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
     placed = checked.withColumn("rank", (F.row_number().over(by_doc) - 1).cast("bigint"))
     sizes = stage(tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc-sizes")
-    offsets = running_total(sizes, ["doc_id"], F.col("doc_id"), F.col("n"), "offset").select("doc_id", "offset")
+    offsets = running_total(sizes, ["doc_id"], F.col("n"), "offset").select("doc_id", "offset")
     return placed.join(offsets, "doc_id").select(
         "doc_id", F.col("rank").alias("pos"), (F.col("offset") + F.col("rank")).alias("gpos"), "id", "token", "kind"
     )
@@ -224,7 +222,7 @@ def cumulative(dist: DataFrame) -> DataFrame:
     """
     units = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("p") * F.lit(DRAW_STEPS)).cast("bigint"))
     positive = dist.where(F.col("p") > 0).withColumn("units", units)
-    summed = running_total(positive, ["id"], F.col("id"), F.col("units"), "before")
+    summed = running_total(positive, ["id"], F.col("units"), "before")
     return summed.select(
         "id", (F.col("before") / F.lit(DRAW_STEPS)).alias("lo"), ((F.col("before") + F.col("units")) / F.lit(DRAW_STEPS)).alias("hi"))
 
@@ -256,9 +254,7 @@ def weighted_draw(draws: DataFrame, slices: DataFrame, u: str, name: str) -> Dat
 def frequency_export(vocab: DataFrame, special: Sequence[str] = ("<S>", "</S>", "<UNK>")) -> DataFrame:
     """``(line_no, line)``: special lines, then words by falling support. ``vocab`` must be staged."""
     words = vocab.where(F.col("kind") == "token")
-    last_id = words.agg(F.max("id")).first()[0] or 1
-    position = -F.col("support") + F.col("id") / F.lit(float(last_id + 1))
-    ordered = number_rows(words, [F.desc("support"), "id"], position, "line_no", len(special)).select(
+    ordered = number_rows(words, [F.desc("support"), "id"], "line_no", len(special)).select(
         "line_no", F.col("token").alias("line")
     )
     head = vocab.sparkSession.range(1).select(
@@ -271,7 +267,7 @@ def extend_vocabulary(vocab: DataFrame, new_tokens: DataFrame) -> DataFrame:
     """Add unseen tokens behind the last id, by name, with support 0. ``vocab`` must be staged."""
     unseen = stage(new_tokens.select("token").distinct().join(vocab.select("token"), "token", "left_anti"), "unseen")
     start = (vocab.agg(F.max("id")).first()[0] or 0) + 1
-    added = number_rows(unseen, ["token"], text_position(F.col("token")), "id", start).select(
+    added = number_rows(unseen, ["token"], "id", start).select(
         "id", "token", F.lit(0).cast("bigint").alias("support"), F.lit("token").alias("kind")
     )
     return vocab.select("id", "token", "support", "kind").unionByName(added)

@@ -22,7 +22,7 @@ def fill_metadata(ids: DataFrame, kind: str = "section", name: str = "metadata_i
     if not across:
         return filled.withColumn(name, F.coalesce(name, zero))
     ends = stage(ids.groupBy("doc_id").agg(F.max_by(own, F.when(own.isNotNull(), F.col("pos"))).alias("own")), "ends")
-    carried = carry_last(ends, ["doc_id"], F.col("doc_id"), "own", "carried").select("doc_id", "carried")
+    carried = carry_last(ends, ["doc_id"], "own", "carried").select("doc_id", "carried")
     return filled.join(carried, "doc_id").withColumn(name, F.coalesce(name, "carried", zero)).drop("carried")
 
 

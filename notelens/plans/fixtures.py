@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from notelens.functions import text as tx
 from notelens.operators import vocabulary as vo
-from notelens.operators.scale import first_k_in_group, stage
+from notelens.operators.scale import first_k_in_group, stage, stage_by
 from notelens.plans.registry import documents
 
 HEADER_NAMES = [
@@ -65,9 +65,9 @@ def raw_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    raw = stage(raw_tokens(spark, sf), "tokens")
+    raw = stage_by(raw_tokens(spark, sf), "doc_id", "pos", "tokens")
     counts = stage(vo.token_counts(raw), "token-counts")
-    return stage(vo.subsample(raw, counts, MIN_COUNT, THRESHOLD), "clean-tokens")
+    return stage_by(vo.subsample(raw, counts, MIN_COUNT, THRESHOLD), "doc_id", "pos", "clean-tokens")
 
 
 def vocab(spark: SparkSession, sf: str, tokens: DataFrame | None = None) -> DataFrame:

@@ -41,10 +41,25 @@ GROUP BY doc_id, coalesce(island, 0) HAVING count(*) FILTER (t <> '') > 0""")
 @register("s03_assembled_documents", s.with_("SELECT doc_id, closing, text FROM assembled", "assembled"))
 def assembled_documents(spark, sf):
     lines = stage(fx.corpus_lines(spark, sf), "lines")
-    out = fi.assemble_documents(lines, "doc_id", "line_no", F.col("doc_id"))
+    out = fi.assemble_documents(lines, "doc_id", "line_no")
     return out.withColumn("closing", F.col("closing").cast("bigint"))
 
 
+s.define("file_lines", ("corpus_lines",), f"""
+SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS n, regexp_replace(line, '^{s.SP}+|{s.SP}+$', '', 'g') AS t FROM corpus_lines""")
+
+
+@register("s03_text_file_documents", s.with_("""
+SELECT max(n) AS closing, string_agg(t, ' ' ORDER BY n) FILTER (t <> '') AS text FROM (
+  SELECT *, coalesce(sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island
+  FROM file_lines) GROUP BY island HAVING count(*) FILTER (t <> '') > 0""", "file_lines"))
+def text_file_documents(spark, sf):
+    path = _path(spark, "corpus-text")
+    fi.write_lines(fx.corpus_lines(spark, sf), ["doc_id", "line_no"], path, files=spark.sparkContext.defaultParallelism)
+    lines = fi.read_lines(spark, path, split_bytes=1 << 16).withColumn("file", F.lit("corpus"))
+    return fi.assemble_documents(lines, "file", "line_no").select("closing", "text")
+
+
 @register("s04_inventory_scan", s.with_("SELECT sf, lf_idx, lf FROM senses", "senses"))
 def inventory_scan(spark, sf):
     path = _path(spark, "inventory-json")
@@ -123,7 +138,7 @@ SELECT row_number() OVER (ORDER BY doc_id, word_at, lf) - 1 AS row_idx, sf, repl
 
 def labelled(spark, sf):
     contexts, senses = mq._contexts(spark, sf)
-    numbered = number_rows(contexts, ["doc_id", "at", "lf"], F.col("doc_id"), "row_idx").withColumnRenamed("lf", "_lf")
+    numbered = number_rows(contexts, ["doc_id", "at", "lf"], "row_idx").withColumnRenamed("lf", "_lf")
     rows = numbered.join(sized(senses.select("sf", F.col("lf").alias("_lf"))), "_lf")
     at, match = F.col("at"), F.col("lf_match")
     target = (

@@ -203,7 +203,7 @@ def _tokens(spark, sf):
     from notelens.operators.scale import number_rows
 
     examples, senses = _split(spark, sf)
-    numbered = stage(number_rows(stage(examples, "examples"), ["doc_id", "at", "lf"], F.col("doc_id"), "row_idx"), "numbered")
+    numbered = stage(number_rows(stage(examples, "examples"), ["doc_id", "at", "lf"], "row_idx"), "numbered")
     sections = fx.sections(spark, sf)
     tokens = mi.tokenize_with_headers(numbered.select("row_idx", F.col("context").alias("text")), sections, "row_idx")
     return numbered, stage(tokens, "context-tokens"), senses, sections

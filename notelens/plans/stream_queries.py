@@ -9,7 +9,7 @@ from notelens.functions.hashing import uniform
 from notelens.operators import examples as ex
 from notelens.operators import vocabulary as vo
 from notelens.operators import windows as wi
-from notelens.operators.scale import stage
+from notelens.operators.scale import number_rows, stage, stage_by
 from notelens.plans import fixtures as fx
 from notelens.plans import text_queries  # noqa: F401  (its SQL fragments)
 from notelens.plans import sql as s
@@ -20,7 +20,7 @@ joined = lambda c: F.array_join(c, " ")
 
 
 def ids(spark, sf):
-    return stage(fx.ids(spark, sf), "ids")
+    return stage_by(fx.ids(spark, sf), "doc_id", "pos", "ids")
 
 
 def filled(spark, sf):
@@ -113,12 +113,7 @@ def header_levels(spark, sf):
 
 @register("w10_row_numbers", "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS row_idx FROM documents")
 def row_numbers(spark, sf):
-    from notelens.operators.scale import number_rows, text_position
-
-    rows = documents(spark, sf).select("doc_id", "source")
-    last = rows.agg(F.max("doc_id")).first()[0] or 0
-    position = text_position(F.col("source")) + F.col("doc_id") / F.lit(float(last + 1))
-    return number_rows(rows, ["source", "doc_id"], position, "row_idx").select("doc_id", "row_idx")
+    return number_rows(documents(spark, sf).select("doc_id", "source"), ["source", "doc_id"], "row_idx").select("doc_id", "row_idx")
 
 
 @register("m06_token_metadata_counts", s.with_("""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notelens.functions import text as tx
 from notelens.functions.hashing import uniform
-from notelens.operators.scale import running_total
+from notelens.operators.scale import number_rows, running_total, stage
 
 NOTE_SCHEMA = "doc_id LONG, category STRING, text STRING"
 LABELLED_SCHEMA = "sf STRING, target_lf STRING, start_idx INT, section STRING, context STRING"
@@ -38,28 +40,42 @@ def write_labelled(rows: DataFrame, path: str) -> None:
     rows.select(*columns).write.csv(path, sep="|", header=True, quote='"', escape='"', quoteAll=True)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line_no, line)``; ``line_no`` orders the lines of a file but need not be dense."""
-    rows = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    return rows.select(
-        F.col("file_path").alias("file"),
-        F.struct("file_block_start", F.monotonically_increasing_id().alias("n")).alias("line_no"),
-        F.col("value").alias("line"),
-    )
+def write_lines(lines: DataFrame, order: Sequence[str], path: str, files: int) -> None:
+    """Write the column ``line`` along ``order`` as text files, whose names ascend along it, too."""
+    ranges = lines.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    ranges.select("line").write.option("lineSep", "\n").text(path)
 
 
-def assemble_documents(lines: DataFrame, file: str, line_no: str, position: Column, compat: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """``(line_no, line)``, written: the lines of all text files of a folder, numbered along file names and places.
+
+    Files are read in splits of ``split_bytes`` (none: of the session's size), wherever a document is cut; a line belongs to the
+    split it starts in, and the start of its split and its place there order it.
+    """
+    size = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(size)
+    if split_bytes:
+        spark.conf.set(size, str(split_bytes))
+    try:
+        rows = spark.read.option("lineSep", "\n").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+        lines = stage(rows.select(
+            "file_path", "file_block_start", F.monotonically_increasing_id().alias("n"), F.col("value").alias("line")), "lines")
+    finally:
+        spark.conf.set(size, usual)
+    return stage(number_rows(lines, ["file_path", "file_block_start", "n"], "line_no").select("line_no", "line"), "lines")
+
+
+def assemble_documents(lines: DataFrame, file: str, line_no: str, compat: bool = False) -> DataFrame:
     """Lines between blank lines, stripped and joined by one space; the id is the closing line.
 
-    ``position`` never decreases along ``(file, line_no)``. The running count
-    of blank lines is taken in buckets, so one long file is no single task.
+    The running count of blank lines along ``(file, line_no)`` is taken in ranges, so one long file is no single task.
     ``lines`` should be staged. With ``compat`` the third blank line of a run
     closes an empty document.
     """
     stripped = F.regexp_replace("line", f"^{tx.SPACES}|{tx.SPACES}$", "")
     rows = lines.withColumn("_text", stripped)
     blank = (F.col("_text") == "").cast("int")
-    numbered = running_total(rows, [file, line_no], position, blank, "_island")
+    numbered = running_total(rows, [file, line_no], blank, "_island")
     grouped = numbered.groupBy(file, "_island").agg(
         F.max(line_no).alias("closing"),
         F.array_sort(F.collect_list(F.when(F.col("_text") != "", F.struct(F.col(line_no).alias("at"), F.col("_text").alias("text"))))).alias("_lines"),

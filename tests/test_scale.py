@@ -17,12 +17,12 @@ def rows(spark, n=100):
 
 
 def test_number_rows_in_buckets(spark, small_tasks):
-    got = scale.number_rows(rows(spark), ["k"], F.col("k"), "n", 3).orderBy("k").collect()
+    got = scale.number_rows(rows(spark), ["k"], "n", 3).orderBy("k").collect()
     assert [r.n for r in got] == list(range(3, 103))
 
 
 def test_running_total_in_buckets(spark, small_tasks):
-    got = scale.running_total(rows(spark), ["k"], F.col("k"), F.col("id"), "before").orderBy("k").collect()
+    got = scale.running_total(rows(spark), ["k"], F.col("id"), "before").orderBy("k").collect()
     total = 0
     for r in got:
         assert r.before == total
@@ -32,11 +32,45 @@ def test_running_total_in_buckets(spark, small_tasks):
 def test_carry_last_in_buckets(spark, small_tasks):
     data = rows(spark).withColumn("v", F.when(F.col("k") % 23 == 0, F.col("k")))
     last = None
-    for r in scale.carry_last(data, ["k"], F.col("k"), "v", "c").orderBy("k").collect():
+    for r in scale.carry_last(data, ["k"], "v", "c").orderBy("k").collect():
         assert r.c == last
         last = r.v if r.v is not None else last
 
 
+def composite(spark, n=400):
+    """Sources that share their first letters, ties, nulls and numbers of both signs."""
+    name = F.when(F.col("id") % 9 > 0, F.concat(F.lit("source_with_long_prefix_"), F.col("id") % 4))
+    number = F.when(F.col("id") % 11 > 0, F.col("id") * 7919 % 101 - 50)
+    return spark.range(n).select("id", name.alias("name"), number.alias("number")).repartition(5)
+
+
+@pytest.mark.parametrize("size", [50, 10_000])
+def test_orders_of_any_columns(spark, monkeypatch, size):
+    monkeypatch.setattr(scale, "ROWS_PER_TASK", size)
+    data = scale.stage(composite(spark), "composite")
+    last = lambda x: (x is not None, x or 0)
+    text = lambda x: (x is not None, x or "")
+    got = scale.number_rows(data, ["name", F.desc("number"), "id"], "n", 5).orderBy("n").collect()
+    # nulls come first when rising and last when falling
+    want = sorted(data.collect(), key=lambda r: (text(r.name), r.number is None, -(r.number or 0), r.id))
+    assert [r.n for r in got] == list(range(5, 405)) and [r.id for r in got] == [r.id for r in want]
+    want = sorted(want, key=lambda r: (text(r.name), last(r.number), r.id))
+    total, carried = 0, None
+    sums = {r.id: r.sum for r in scale.running_total(data, ["name", "number", "id"], F.col("id"), "sum", inclusive=True).collect()}
+    lasts = {r.id: r["last"] for r in scale.carry_last(data, ["name", "number", "id"], "number", "last").collect()}
+    for r in want:
+        total += r.id
+        assert sums[r.id] == total and lasts[r.id] == carried
+        carried = r.number if r.number is not None else carried
+
+
+def test_ties_and_empty_tables_in_order(spark, small_tasks):
+    tied = scale.stage(spark.range(100).select(F.lit(None).cast("string").alias("k"), F.lit(1).alias("v")), "tied")
+    assert sorted(r.n for r in scale.number_rows(tied, ["k"], "n").collect()) == list(range(100))
+    assert sorted(r.s for r in scale.running_total(tied, ["k"], F.col("v"), "s").collect()) == list(range(100))
+    assert scale.number_rows(tied.limit(0), ["k"], "n").count() == 0
+
+
 def test_rank_in_group_in_slices(spark, small_tasks):
     from notelens.functions.hashing import uniform
 

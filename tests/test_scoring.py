@@ -57,7 +57,7 @@ def test_blank_line_documents(spark):
     lines = [" a ", "b", "", "c", " ", " ", "d", "", "", "", "e"]
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
     def docs(compat):
-        out = assemble_documents(df, "file", "line_no", F.col("line_no"), compat).collect()
+        out = assemble_documents(df, "file", "line_no", compat).collect()
         return sorted((r.closing, r.text) for r in out)
     assert docs(False) == [(2, "a b"), (4, "c"), (7, "d"), (10, "e")]
     # the buffer of the reading loop holds a space after a second blank line, which a third one closes
