@@ -55,11 +55,11 @@ def words(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
 
     Shorter runs than ``length`` cannot give a word and are never made rows; counts are combined before the shuffle.
     """
-    low = F.translate(F.col(text), UPPER, LOWER)
-    runs = F.regexp_extract_all(low, F.lit(f"[a-zÀ-ÿ]{{{length},}}"), F.lit(0))
+    runs = F.regexp_extract_all(F.col(text), F.lit(f"[A-Za-zÀ-ÿ]{{{length},}}"), F.lit(0))
     key = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"))
     each = df.select(key.alias("key"), runs.alias("runs")).select("key", F.explode("runs").alias("run"))
-    h = each.select("run", F.crc32(F.concat("key", "run")).alias("h"))
+    low = F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, LOWER)).otherwise(F.col("run"))
+    h = each.withColumn("run", low).select("run", F.crc32(F.concat("key", "run")).alias("h"))
     at = F.pmod(F.col("h"), F.length("run").cast("bigint")).cast("int")
     cut = F.concat(F.substring("run", 1, at), F.substring("run", at + 2, F.length("run")))
     word = F.when(F.col("h") % DROP == 0, cut).otherwise(F.col("run"))
@@ -126,7 +126,15 @@ def trie(found: DataFrame) -> tuple[DataFrame, DataFrame]:
                         following["node"].alias("child"), F.when(following.isNull(), F.col("o")).alias("end"))
 
     edges = paths.select(F.inline(F.transform("way", edge)))
-    return paths, staged(edges.distinct(), "edges")
+    edges = staged(edges.distinct(), "edges")
+    # what may follow behind an edge, so that a state that cannot go on there is not made
+    following = edges.groupBy(F.col("node").alias("child")).agg(F.bit_or(_bit(F.col("c"))).alias("following"))
+    return paths, staged(edges.join(following, "child", "left").select(*edges.columns, "following"), "edges")
+
+
+def _bit(text: Column) -> Column:
+    """One of 64 bits for the first character of a text, or for its end."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(text).bitwiseAND(63))
 
 
 def near_words(found: DataFrame) -> DataFrame:
@@ -137,9 +145,12 @@ def near_words(found: DataFrame) -> DataFrame:
     start = start.select("side", "o", F.col("x.node").alias("node"), F.substring(F.col("o"), F.col("x.at") + 1, F.length("o")).alias("rest"))
 
     def left(text: Column, label: Column) -> Column:
-        """What is left of ``text`` behind a label; null if the label is not what comes next, or not all at a word's end."""
-        fits = F.when(F.col("end").isNull(), F.startswith(text, label)).otherwise(text == label)
-        return F.when(fits, F.substring(text, F.length(label) + 1, F.length(text)))
+        """What is left of ``text`` behind a label; null if the label is not what comes next, if it is not all at a word's
+        end, or if no edge behind it can go on."""
+        behind = F.substring(text, F.length(label) + 1, F.length(text))
+        goes_on = F.startswith(text, label) & (F.col("following").bitwiseAND(_bit(behind)) != 0)
+        fits = F.when(F.col("end").isNull(), goes_on).otherwise(text == label)
+        return F.when(fits, behind)
 
     tail = lambda text: F.substring(text, F.lit(2), F.length(text))
     replaced = F.when((F.col("c") != "") & (rest != ""), left(tail(rest), tail(F.col("label"))))
