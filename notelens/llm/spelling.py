@@ -57,13 +57,15 @@ def words(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
     """
     runs = F.regexp_extract_all(F.col(text), F.lit(f"[A-Za-zÀ-ÿ]{{{length},}}"), F.lit(0))
     key = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"))
-    each = df.select(key.alias("key"), runs.alias("runs")).select("key", F.explode("runs").alias("run"))
+    each = df.select(key.alias("key"), F.explode(runs).alias("run"))
     low = F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, LOWER)).otherwise(F.col("run"))
-    h = each.withColumn("run", low).select("run", F.crc32(F.concat("key", "run")).alias("h"))
+    # an array of one is worked out once; else Spark works a column out anew wherever a later one or a filter names it
+    once = lambda value: F.explode(F.array(value))
+    h = each.select("key", once(low).alias("run")).select("run", once(F.crc32(F.concat("key", "run"))).alias("h"))
     at = F.pmod(F.col("h"), F.length("run").cast("bigint")).cast("int")
     cut = F.concat(F.substring("run", 1, at), F.substring("run", at + 2, F.length("run")))
     word = F.when(F.col("h") % DROP == 0, cut).otherwise(F.col("run"))
-    counted = h.select(word.alias("word")).filter(F.length("word") >= length).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = h.select(once(word).alias("word")).filter(F.length("word") >= length).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counted.filter(F.col("n") >= count)
 
 
@@ -129,7 +131,9 @@ def trie(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = staged(edges.distinct(), "edges")
     # what may follow behind an edge, so that a state that cannot go on there is not made
     following = edges.groupBy(F.col("node").alias("child")).agg(F.bit_or(_bit(F.col("c"))).alias("following"))
-    return paths, staged(edges.join(following, "child", "left").select(*edges.columns, "following"), "edges")
+    inner = edges.filter(F.col("end").isNull()).join(following, "child").select(*edges.columns, "following")
+    last = edges.filter(F.col("end").isNotNull()).withColumn("following", F.lit(0).cast("bigint"))
+    return paths, staged(inner.union(last), "edges")
 
 
 def _bit(text: Column) -> Column:
