@@ -4,14 +4,15 @@ A classifier learned from a table of labelled texts gives every document a poste
 over the domains, and the tokens of a document count for the domains by it. Rates
 r >= ``least`` (0: a document may go) are fitted by least squares so that the expected
 tokens of every domain, sum of r * tokens * posterior, meet its target. Copies are the
-rates rounded at random, without bias, by a hash of the document's id.
+rates rounded at random, without bias, by a hash of the document's id and text.
 
 * Classifier: naive Bayes over marker words. Markers are the words whose counts speak
   most for a domain; they and their shares come from about ``SAMPLE`` labelled rows,
   chosen by a hash of id and text: all rows of domains with few, equally many of the
   others, at least one of each; markers are found with counts scaled up to all rows.
   Evidence is scaled to at most ``EVIDENCE`` words, so documents of mixed text keep soft
-  posteriors.
+  posteriors. How often a marker must occur follows the domain's own sampled tokens, ``LEAST_SUPPORT`` times at most, so
+  that a domain of a few rows has its markers, too.
 * Fit: projected gradient in the metric of tokens. With residuals divided by the
   domains' own tokens, a step of 1 cannot overshoot: for a posterior p, p p' <= diag(p),
   so the curvature is at most 1. A round is one aggregate of as many sums as domains
@@ -21,13 +22,17 @@ rates rounded at random, without bias, by a hash of the document's id.
 Only DataFrame functions are used. Nulls and texts without words have no tokens, the
 prior as posterior, and get a rate like any other. Rows without a label are not
 learned from; without any labelled row there are no domains, and every rate is
-max(1, least). A weight above 0 for a domain without labelled rows is refused. Domains
-are few (``MAX_DOMAINS``; more are refused). Repeated rows get equal rates and copies. Outputs replace columns of the same name.
+max(1, least). A weight above 0 for a domain without labelled rows is refused, and so are
+given weights that no rates meet (``UNMET``); of the default weights a warning tells the
+same. Domains are few (``max_domains``; more are refused). Rows with the same id and the
+same text get equal rates and copies, all others are rounded on their own. Outputs replace
+columns of the same name.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,6 +49,10 @@ EVIDENCE = 30.0
 #: Rounds of the fit at most; it stops when no domain is further than TOLERANCE of all tokens from its target, or moves
 #: less than STALLED of them (targets that no rates can meet).
 ROUNDS, TOLERANCE, STALLED = 40, 1e-5, 1e-4
+#: A domain further than this share of all tokens from its target counts as not met.
+UNMET = 0.01
+#: Sampled tokens of a domain for each occurrence that its markers need.
+PER_SUPPORT = 500
 OUTPUTS = ("tokens", "posterior", "rate", "copies")
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,15 +89,16 @@ def _shares(counts: dict[str, int], sample: int) -> dict[str, float]:
     return {d: min(1.0, quota / n) for d, n in counts.items()}
 
 
-def learn(labelled: DataFrame, domain: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Classifier:
+def learn(labelled: DataFrame, domain: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE,
+          max_domains: int = MAX_DOMAINS) -> Classifier:
     """Learn from a table of labelled texts."""
     known = labelled.filter(F.col(domain).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.col(domain).cast("string").alias("domain"), F.col(text).alias("text"))
     cell = F.pmod(F.xxhash64("key", "text", F.lit(11)), F.lit(CELLS))
-    listed = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min(cell).alias("first")).limit(MAX_DOMAINS + 1).collect()
+    listed = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min(cell).alias("first")).limit(max_domains + 1).collect()
     counts = {r["domain"]: r["n"] for r in listed}
-    if len(counts) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    if len(counts) > max_domains:
+        raise ValueError(f"more than {max_domains} domains")
     domains, total = sorted(counts), sum(counts.values())
     if not domains:
         return Classifier([], [], [], [])
@@ -99,10 +109,16 @@ def learn(labelled: DataFrame, domain: str = "lang", text: str = "text", key: st
     rows = known.filter(cell < bound)
     words = (rows.select("domain", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
              .filter(F.length("word") > 1).groupBy("word", "domain").count())
+    words = staged(words, "domain-words")
+    sampled = {r["domain"]: r["n"] for r in words.groupBy("domain").agg(F.sum("count").alias("n")).collect()}  # a row a domain
+    often = F.lit(False)
+    for k, d in enumerate(domains):
+        needed = min(LEAST_SUPPORT, sampled.get(d, 0) // PER_SUPPORT + 1)
+        # counts are scaled up to all rows
+        often = often | (F.col(f"n{k}") * F.lit(share[d]) > F.lit(needed - 0.5))
     wide = staged(words.groupBy("word").agg(
-        F.sum("count").alias("support"),
         *[F.sum(F.when(F.col("domain") == d, F.col("count")).otherwise(0) / F.lit(share[d])).alias(f"n{k}") for k, d in enumerate(domains)])
-        .filter(F.col("support") >= LEAST_SUPPORT)
+        .filter(often)
         .withColumn("n", sum((F.col(f"n{k}") for k in range(len(domains))), F.lit(0.0))), "marker-words")
     sums = wide.agg(F.sum("n"), *[F.sum(f"n{k}") for k in range(len(domains))]).first()
     markers: list[str] = []
@@ -161,6 +177,11 @@ class Fit:
     targets: list[float]
     reached: list[float]
 
+    def unmet(self) -> list[int]:
+        """Domains whose expected tokens are far from their target."""
+        total = sum(self.targets)
+        return [k for k, (r, t) in enumerate(zip(self.reached, self.targets)) if abs(r - t) > UNMET * total]
+
     def rate(self, posterior: str = "posterior") -> Column:
         rate = F.lit(max(1.0, self.least))
         for step in self.steps:
@@ -209,6 +230,8 @@ def fit(members: DataFrame, n_domains: int, weights: list[float] | None = None,
         if stalled or all(abs(g) <= TOLERANCE * total for g in gap):
             break
         result.steps.append([g / o if o > 0 else 0.0 for g, o in zip(gap, own)])
+    else:
+        result.reached = totals(result.rate())
     return result
 
 
@@ -222,9 +245,18 @@ def _listed(weights: dict[str, float] | None, model: Classifier) -> list[float]
     return [float(weights.get(d, 0.0)) for d in model.domains]
 
 
-def copies(rate: Column, key: Column) -> Column:
-    """Whole copies whose expected number is the rate."""
-    u = (F.xxhash64(key, F.lit(23)) / F.lit(2.0 ** 64)) + 0.5
+def _told(found: Fit, model: Classifier, given: bool) -> None:
+    """Refuse given weights that the fit did not meet; warn of default ones."""
+    missed = [f"{model.domains[k]}: {found.reached[k]:.0f} tokens for {found.targets[k]:.0f}" for k in found.unmet()]
+    if missed and given:
+        raise ValueError(f"weights not met: {missed}")
+    if missed:
+        warnings.warn(f"default weights not met: {missed}", stacklevel=3)
+
+
+def copies(rate: Column, *keys: Column) -> Column:
+    """Whole copies whose expected number is the rate, by a hash of the keys."""
+    u = (F.xxhash64(*keys, F.lit(23)) / F.lit(2.0 ** 64)) + 0.5
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
 
 
@@ -233,10 +265,12 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dic
     """``doc_id``, ``tokens``, ``posterior``, ``rate`` and ``copies`` of every row of ``docs``."""
     model = learn(labelled, domain)
     listed = _listed(weights, model)
-    members = staged(membership(docs.select("doc_id", "text"), model).select("doc_id", "tokens", "posterior"), "membership")
+    members = staged(membership(docs.select("doc_id", "text"), model).select(
+        "doc_id", "tokens", "posterior", F.xxhash64("text").alias("_text_key")), "membership")
     found = fit(members, len(model.domains), listed, power, least, keep_all)
-    return (members.withColumn("rate", found.rate())
-            .withColumn("copies", copies(F.col("rate"), F.coalesce("doc_id", F.lit(-1)))))
+    _told(found, model, weights is not None)
+    rated = members.withColumn("rate", found.rate())
+    return rated.withColumn("copies", copies(F.col("rate"), F.coalesce("doc_id", F.lit(-1)), F.col("_text_key"))).drop("_text_key")
 
 
 def remix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, power: float = 0.7,
@@ -251,7 +285,8 @@ def remix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: d
     members = staged(membership(docs.select(row.alias("_row"), F.col("text").alias("_text")), model, "_text")
                      .select("_row", "tokens", "posterior"), "membership")
     found = fit(members, len(model.domains), listed, power, least, keep_all)
+    _told(found, model, weights is not None)
     rated = members.select("_row", found.rate().alias("_rate"))
-    number = copies(F.col("_rate"), F.coalesce(F.col("_row.doc_id"), F.lit(-1)))
+    number = copies(F.col("_rate"), F.coalesce(F.col("_row.doc_id"), F.lit(-1)), F.xxhash64(F.col("_row.text")))
     return (rated.select("_row", F.explode(F.array_repeat(F.lit(0), number)).alias("_copy"))
             .select(*[F.col("_row").getField(n).alias(n) for n in names]))

@@ -108,3 +108,33 @@ def test_weights_of_domains_without_labels_are_refused(documents):
         with pytest.raises(ValueError):
             mixed(docs, docs, weights={"en": 0.5, "fr": 0.5})
     assert op.mix(docs, docs, weights={"en": 0.5, "fr": 0.0}).count() == 1
+
+
+@pytest.mark.parametrize("sample", [100, 4000])
+def test_a_domain_of_three_short_rows_meets_its_target(documents, sample):
+    """No word of the rare domain occurs often; it has markers all the same, and its weight is met or refused."""
+    rows = [(k, f"the cat of the town w{k % 7} and more of it") for k in range(3000)]
+    docs = documents(rows + [(3000 + k, f"uno due tre{k} quattro cinque sei sette") for k in range(3)])
+    train = docs.withColumn("lang", F.when(F.col("text").startswith("uno"), "xx").otherwise("en"))
+    model = op.learn(train, sample=sample)
+    members = op.membership(docs, model)
+    found = op.fit(members, 2, [0.5, 0.5])
+    assert np.allclose(found.reached, found.targets, rtol=0.01) and not found.unmet()
+    rates = [r.rate for r in op.mix(docs, train, weights={"en": 0.5, "xx": 0.5}).filter("doc_id >= 3000").collect()]
+    assert len(rates) == 3 and min(rates) > 100
+
+
+def test_weights_that_no_rates_meet_are_refused(documents):
+    """Both labels have the same texts: the classifier cannot tell them apart."""
+    docs = documents([(k, "all the same words") for k in range(40)])
+    train = docs.withColumn("lang", F.when(F.col("doc_id") < 4, "xx").otherwise("en"))
+    for mixed in (op.mix, op.remix):
+        with pytest.raises(ValueError, match="not met"):
+            mixed(docs, train, weights={"en": 0.1, "xx": 0.9})
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_of_one_id_are_rounded_on_their_own(spark, key):
+    rows = spark.range(2000).select(F.lit(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col("id").cast("string")).alias("text_key"))
+    total = rows.agg(F.sum(op.copies(F.lit(0.6), F.coalesce("doc_id", F.lit(-1)), F.col("text_key")))).first()[0]
+    assert abs(total - 1200) < 120
