@@ -113,11 +113,16 @@ def _matrix(texts: list) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_LABELLED_ROWS) -> Discriminant:
-    """Fit on the labelled documents outside the held-out fold: at most ``max_rows`` labels, those of the smallest hashes."""
+    """Fit on the labelled documents outside the held-out fold: at most ``max_rows`` labels, those of the smallest hashes.
+
+    Of the rows with one id one text counts, the one with the least hash, so that repeated ids do not get past the bound.
+    """
     chosen = (labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
               .select("doc_id", F.col(label).cast("int").alias("label")).distinct()
               .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row")
+    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(one)
+            .select("doc_id", "label", "row.text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

@@ -64,3 +64,13 @@ def test_bound_on_labelled_rows(spark, documents):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     docs = documents([(i, "t" * (i + 1)) for i in range(40)])
     assert op.fit(docs, labels, max_rows=1).constant is not None
+
+
+def test_repeated_ids_do_not_pass_the_bound(spark, documents, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    docs = documents([(i % 12 if i < 60 else 1, f"text {i}") for i in range(3000)])
+    seen = []
+    monkeypatch.setattr(op.Discriminant, "fit", classmethod(lambda cls, x, label: seen.append(len(x)) or cls(constant=0.5)))
+    op.fit(docs, labels, max_rows=4)
+    op.fit(docs, labels, max_rows=100)
+    assert seen[0] == 4 and seen[1] <= 12
