@@ -265,20 +265,24 @@ def train(pieces: list[tuple[str, list[str]]], seed: int = 0) -> Model:
 
 
 def fit(labelled: DataFrame, lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
-    """Train on about ``rows`` documents of each language of ``labelled`` (``doc_id``, ``text`` and a language)."""
+    """Train on about ``rows`` documents of each language of ``labelled`` (``doc_id``, ``text`` and a language).
+
+    Documents are sampled by a hash of id and text. However often rows repeat, at most twice the expected number of pieces is
+    learned from, those of the smallest hashes.
+    """
     known = labelled.select("doc_id", F.col(lang).cast("string").alias("label"), "text").filter(
         "doc_id is not null and label is not null and text is not null")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30))
     wanted = F.lit(False)
     for name, n in sorted(counts.items()):
         wanted = wanted | ((F.col("label") == name) & (u < int(min(1.0, rows / n) * (1 << 30))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out: tuple[list, list] = ([], [])
+            out: tuple[list, list, list] = ([], [], [])
             for doc_id, label, text in zip(*(c.to_pylist() for c in part.columns)):
                 words = words_of(text)
                 starts = range(0, max(1, len(words) - PIECE + 1), PIECE)
@@ -286,10 +290,14 @@ def fit(labelled: DataFrame, lang: str = "lang", rows: int = ROWS_PER_LANGUAGE)
                 for s in chosen:
                     out[0].append(label)
                     out[1].append(words[s:s + PIECE])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string()))], ["label", "words"])
+                    out[2].append(xxhash.xxh3_64_intdigest(" ".join(out[1][-1])) >> 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.int64())], ["label", "words", "h"])
 
-    found = map_rows(known.filter(wanted), run, [T.StructField("label", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])
-    return train([(r["label"], list(r["words"])) for r in found.collect()])  # languages * rows * PIECES short pieces, about
+    found = map_rows(known.filter(wanted), run, [
+        T.StructField("label", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("h", T.LongType())])
+    bounded = found.orderBy("h", "label", "words").limit(2 * rows * PIECES * max(1, len(counts)))
+    return train([(r["label"], list(r["words"])) for r in bounded.collect()])  # short pieces
 
 
 _MODELS: dict[int, Model] = {}

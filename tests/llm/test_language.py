@@ -97,3 +97,10 @@ def test_features_do_not_depend_on_neighbours():
         assert sorted(alone[alone < op.WEIGHTS].tolist()) == found
         n = len(word) + 2
         assert len(found) == (n - 1) + (n - 2) + 2 * (len(word) >= 3) + (word in ("haus", "a"))
+
+
+def test_sample_is_bounded_under_repeated_rows(documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op, "train", lambda pieces, **_: seen.append(len(pieces)) or op.Model([], np.zeros((1, 0)), np.zeros((0, 0)), frozenset()))
+    op.fit(documents([(1, "some words of one text " * 20)] * 500 + [(1, f"other words {k} here " * 20) for k in range(500)]), rows=5)
+    assert 0 < seen[0] <= 2 * 5 * op.PIECES
