@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notelens.llm.tables import map_rows, slices, staged
+from notelens.operators.scale import lookup_join
 
 WIDTH, GRAM = 50, 8
 #: Windows in the distinct super-k-mers of a minimiser above which they are dealt out by their words.
@@ -95,7 +96,7 @@ def _places(docs: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out = ([], [], [], [], [])
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for doc_id, text, text_key in zip(*(c.to_pylist() for c in part.columns)):
                 if doc_id is None or not text:
                     continue
                 words = text.encode().split()
@@ -106,7 +107,6 @@ def _places(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                 firsts = np.concatenate([[0], ends[:-1] + 1]).tolist()
                 ends = ends.tolist()
-                text_key = xxhash.xxh3_64_intdigest(joined) >> 1
                 for minimiser, start, count in found:
                     packed = joined[firsts[start]:ends[start + count + width - 2]]
                     out[0].append(minimiser)
@@ -119,22 +119,22 @@ def _places(docs: DataFrame, width: int, gram: int) -> DataFrame:
                  pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())],
                 ["minimiser", "digest", "doc_id", "text_key", "place"])
 
-    return map_rows(docs.select("doc_id", "text"), run, [
+    return map_rows(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, [
         T.StructField("minimiser", LONG), T.StructField("digest", BIN), T.StructField("doc_id", LONG),
         T.StructField("text_key", LONG), T.StructField("place", LONG)])
 
 
 def _packed(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Step 3, first part: the words of the chosen super-k-mers, cut from the documents that stand for them."""
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "text_key", "chosen")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted, ["doc_id", "text_key"])
+    # equal rows of one id stand for their strings once
+    rows = rows.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.first("chosen").alias("chosen")).select("text", "chosen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out = ([], [], [], [], [])
-            for text, text_key, chosen in zip(*(c.to_pylist() for c in part.columns)):
+            for text, chosen in zip(*(c.to_pylist() for c in part.columns)):
                 words = (text or "").encode().split()
-                if xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1 != text_key:
-                    continue  # another row with the same doc_id
                 for c in chosen:
                     start, count = c["place"] >> 32, c["place"] & 0xFFFFFFFF
                     out[0].append(c["minimiser"])
@@ -234,10 +234,13 @@ def _hot_runs(packed: DataFrame, width: int) -> DataFrame:
     windows = map_rows(packed.select("digest", "smallest", "packed"), cut, [
         T.StructField("window", BIN), T.StructField("digest", BIN), T.StructField("smallest", LONG), T.StructField("first", INT)])
     windows = staged(windows, "hot-windows")
-    lowest = windows.groupBy("window").agg(F.min("smallest").alias("lowest"))
+    # a window with one smallest id takes no words; very frequent ones are split off by the join
+    lowest = windows.groupBy("window").agg(
+        F.min("smallest").alias("lowest"), F.max("smallest").alias("highest"), F.count(F.lit(1)).alias("n"))
+    lowest = staged(lowest.filter("lowest < highest").select("window", "lowest", "n"), "hot-lowest")
     run = F.struct("first", F.lit(1).alias("count"), F.col("lowest").alias("smallest"))
     # a super-k-mer has no more windows than a document has words
-    return (windows.join(lowest, "window").filter("lowest < smallest")
+    return (lookup_join(windows, lowest, "window", weight="n").filter("lowest < smallest")
             .groupBy("digest").agg(F.collect_list(run).alias("runs")))
 
 
@@ -275,19 +278,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
     new = ("n_words", "n_removed", "removed", "kept")
     names = [n for n in keep if n not in new]
     spans = repeated_spans(docs, width, gram, hot)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "spans")).alias("_spans"))
-    wide = docs.select(*names, F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    wide = wide.join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left").select(*names, "_text", "_spans")
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
+    wide = docs.select(*names, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").alias("_text"))
+    wide = wide.join(spans, ["_id", "_key"], "left").select(*names, "_text", "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             n_words, n_removed, removed, kept = [], [], [], []
             for text, found in zip(part.column(len(names)).to_pylist(), part.column(len(names) + 1).to_pylist()):
                 words = (text or "").encode().split()
-                spans = []
-                if found:
-                    key = xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1
-                    spans = _union(next((f["spans"] for f in found if f["text_key"] == key), []))
+                spans = _union(found or [])
                 at, left = 0, []
                 for first, count in spans:
                     left += words[at:first]

@@ -76,3 +76,22 @@ def test_empty_table(documents):
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert oracle.compare(spark, oracle.connect(sf), sf, op10_substring_dedup, SQL) == ""
+
+
+def test_many_rows_of_one_id(documents):
+    """Rows of one id are joined by their own text; only other ids remove words."""
+    shared = " ".join(f"s{k}" for k in range(30))
+    rows = [(7, f"{shared} own{k} " + " ".join(f"x{k}y{j}" for j in range(20))) for k in range(400)] + [(7, shared)] * 50 + [(3, shared)]
+    got = op.remove_repeats(documents(rows), width=10, gram=4)
+    key = lambda r: (r[0], r[1:])
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r["kept"]) for r in got.collect()), key=key) == sorted(plain(rows, 10), key=key)
+
+
+def test_hot_windows_are_split(documents, monkeypatch):
+    from notelens.operators import scale
+
+    rows = passages(6)
+    want = sorted(map(str, op.remove_repeats(documents(rows), width=10, gram=4, hot=5).collect()))
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 2000)
+    monkeypatch.setattr(scale, "HOT_SHARE", 0.01)
+    assert sorted(map(str, op.remove_repeats(documents(rows), width=10, gram=4, hot=5).collect())) == want
