@@ -11,8 +11,10 @@ its share of the bound.
 (after the last: the first). Ids are cut into ranges at the quantiles of a bounded
 sample, of ``ROWS`` rows or so each; every range is sent to a task with the first
 document of the next one, so texts are shuffled once, streamed in order, and neither
-a window over all rows nor a second copy of the text is needed. Only the ranges' ends
-reach the driver (at most ``RANGES``).
+a window over all rows nor a second copy of the text is needed. An id with very many
+rows, or none, is cut further, by the beginnings of its texts; only rows whose texts
+begin alike over ``PREFIX`` code points stay together. Only the ranges' ends, and the
+samples they are cut by, reach the driver (each of bounded size).
 
 Nulls count as empty texts. Rows with equal ids are documents of their own, in the
 order of their texts (nulls first); null ids come last. A single document is its own
@@ -36,6 +38,8 @@ BUCKETS = 128
 WORST = 160
 #: Rows meant for a range of ids, ranges at most, and ids that the ranges are cut by (about, at most).
 ROWS, RANGES, SAMPLE = 1000, 5000, 100_000
+#: Code points of a text that the rows of one id are cut by.
+PREFIX = 100
 
 _SPREAD = np.uint32(2654435761)
 _APART = np.array([[6 if abs(a - b) == 3 else abs(a - b) for b in range(4)] for a in range(4)], np.int64)
@@ -82,33 +86,76 @@ def edit(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def _ranges(docs: DataFrame, rows: int) -> tuple[list[float], DataFrame]:
-    """Inner cuts of the ids' order, and ``docs`` with the number of each row's range (null ids: -1)."""
+def _text_cuts(docs: DataFrame, hot: dict, rows: int) -> dict:
+    """For each id of very many rows the beginnings of texts that cut its rows, from a bounded sample."""
+    if not hot:
+        return {}
+    share = min(1.0, SAMPLE / 10 / sum(hot.values()))
+    ids = [i for i in hot if i is not None]
+    of_hot = F.col("doc_id").isin(ids) if None not in hot else F.col("doc_id").isin(ids) | F.col("doc_id").isNull()
+    start = F.coalesce(F.substring("text", 1, PREFIX), F.lit(""))
+    drawn = F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 30)) <= int(share * (1 << 30))
+    found: dict = {i: set() for i in hot}
+    for r in docs.filter(of_hot & drawn).select("doc_id", start.alias("start")).distinct().collect():
+        found[r["doc_id"]].add(r["start"])
+    cuts = {}
+    for i, n in hot.items():
+        starts, parts = sorted(found[i]), min(RANGES, n // rows)
+        cuts[i] = sorted({starts[k * len(starts) // parts] for k in range(1, parts)}) if starts else []
+    return cuts
+
+
+def _ranges(docs: DataFrame, rows: int) -> DataFrame:
+    """``docs`` with ``part``, the number of each row's range; ranges with larger numbers come first in the order.
+
+    Ids are cut at quantiles; the rows of an id (or of none) that has very many are cut by the beginnings of their texts.
+    """
+    counts = docs.groupBy("doc_id").count()
+    total = docs.count()
+    hot = {r["doc_id"]: r["count"] for r in counts.filter(F.col("count") > max(4 * rows, total // RANGES)).collect()}  # RANGES at most
+    text_cuts = _text_cuts(docs, hot, rows)
     known = docs.filter("doc_id is not null").select("doc_id")
-    total = known.count()
     parts = max(1, min(RANGES, total // rows))
     share = min(1.0, SAMPLE / max(total, 1))
     sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) <= int(share * (1 << 30))).distinct()
     ids = np.array([float(r["doc_id"]) for r in sample.collect()])
-    cuts = sorted(set(np.quantile(ids, np.arange(1, parts) / parts, method="lower").tolist())) if parts > 1 and len(ids) else []
-    spread = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_id", outputCol="_range", handleInvalid="keep")
+    cuts = set(np.quantile(ids, np.arange(1, parts) / parts, method="lower").tolist()) if parts > 1 and len(ids) else set()
+    for i in hot:
+        if i is not None:
+            cuts |= {float(i), float(np.nextafter(float(i), np.inf))}
     wide = docs.select("doc_id", "text", F.col("doc_id").cast("double").alias("_id"))
-    if not cuts:
-        return cuts, wide.select("doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(0).alias("part"))
-    placed = spread.transform(wide)
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_range").cast("int"))
-    return cuts, placed.select("doc_id", "text", part.alias("part"))
+    if cuts:
+        splits = [-float("inf"), *sorted(cuts), float("inf")]
+        wide = Bucketizer(splits=splits, inputCol="_id", outputCol="_range", handleInvalid="keep").transform(wide)
+    else:
+        wide = wide.withColumn("_range", F.lit(0))
+    span = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("_range").cast("int"))
+    if not hot:
+        return wide.select("doc_id", "text", span.cast("bigint").alias("part"))
+    step = max(map(len, text_cuts.values())) + 3
+    # of two such ids that are one number as doubles (beyond 2^53) the first is cut
+    listed: dict = {}
+    for i in hot:
+        listed.setdefault(None if i is None else float(i), i)
+    table = docs.sparkSession.createDataFrame(
+        [(key, i, text_cuts[i]) for key, i in listed.items()], "_key double, _hot long, _cuts array<string>")
+    met = wide.join(F.broadcast(table), F.col("_id").eqNullSafe(F.col("_key")), "left")
+    start = F.coalesce(F.substring("text", 1, PREFIX), F.lit(""))
+    within = F.size(F.filter("_cuts", lambda c: c <= start)) + 1
+    place = (F.when(F.col("_cuts").isNull() | (F.col("doc_id") > F.col("_hot")), 0)
+             .when(F.col("doc_id") < F.col("_hot"), step - 1).otherwise(within))
+    return met.select("doc_id", "text", (span.cast("bigint") * step + (step - 1 - place)).alias("part"))
 
 
 def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """``doc_id``, ``n_chars``, ``edited`` text, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``."""
     spark = docs.sparkSession
-    _, placed = _ranges(docs.select("doc_id", "text"), rows)
+    placed = _ranges(docs.select("doc_id", "text"), rows)
     heads = sorted(((r["part"], r["head"]) for r in placed.groupBy("part").agg(F.max("doc_id").alias("head")).collect()), reverse=True)
     order = [p for p, _ in heads]
     # the first document of each range is also the one after the last of the range above it
     sent = [(part, head, order[k - 1]) for k, (part, head) in enumerate(heads)]
-    wanted = spark.createDataFrame(sent, "part int, head long, to int")
+    wanted = spark.createDataFrame(sent, "part long, head long, to long")
     first = (placed.join(F.broadcast(wanted), "part").filter(F.col("doc_id").eqNullSafe(F.col("head")))
              .groupBy("to").agg(F.min(F.struct("text", "doc_id")).alias("row"))
              .select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.col("to").alias("part"), F.lit(1).alias("last")))

@@ -52,6 +52,16 @@ def test_ranges(documents, rows):
     assert sorted(got, key=key) == sorted(plain_rows(texts), key=key)
 
 
+@pytest.mark.parametrize("hot", [None, 11, 2**60])
+def test_rows_of_one_id_are_cut(documents, hot):
+    texts = [(hot, f"{k * 7919 % 1000} words of text {k}") for k in range(400)] + [(hot, None), (hot, "")]
+    texts += [(k, f"other {k}") for k in range(5, 20) if k != hot] + [(2**60 + k, f"near {k}") for k in (-1, 1, 2)]
+    docs = documents(texts)
+    sizes = [r["count"] for r in op._ranges(docs.select("doc_id", "text"), 20).groupBy("part").count().collect()]
+    assert max(sizes) <= 60 and len(sizes) >= 12
+    assert sorted((tuple(r) for r in op.with_next(docs, 20).collect()), key=key) == sorted(plain_rows(texts), key=key)
+
+
 def test_one_and_none(documents):
     assert [tuple(r)[:3] for r in op.with_next(documents([(4, "abcd")])).collect()] == [(4, 4, "abab")]
     assert op.with_next(documents([])).count() == 0
