@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notelens.functions.hashing import uniform
 from notelens.operators.scale import rank_in_group, stage
@@ -54,6 +55,69 @@ def split_marginals(counts: DataFrame, share: float = 0.75, seed: int = 0) -> Da
     return _shares(long, ["lf", "part"])
 
 
+#: Cells of a sense that are drawn one after the other.
+CELLS = 4096
+
+
+def _drawn(key: list[str], seed: int):
+    """A function of pandas groups: how many of each row's ``n`` are among the ``take`` drawn of all, one row after the other."""
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("order", kind="stable")
+        name = ":".join(str(rows[c].iloc[0]) for c in key)
+        generator = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{name}:{seed}".encode()).digest()[:8], "big"))
+        left, take, taken = int(rows["n"].sum()), int(rows["take"].iloc[0]), []
+        for n in rows["n"].tolist():
+            # beyond a billion the generator has no such draw; a row in shares of its own is as good there
+            drawn = _hypergeometric(generator, n, left - n, take)
+            taken.append(drawn)
+            left, take = left - n, take - drawn
+        return rows.assign(taken=np.array(taken, dtype=np.int64))
+
+    return one
+
+
+def _hypergeometric(generator, good: int, bad: int, take: int) -> int:
+    """How many of ``take`` drawn things are among ``good`` ones; very large counts by the normal limit, kept in bounds."""
+    least, most = max(0, take - bad), min(good, take)
+    if least == most:
+        return least
+    if good + bad < 1_000_000_000:
+        return int(generator.hypergeometric(good, bad, take))
+    total = good + bad
+    share = good / total
+    deviation = (take * share * (1 - share) * (total - take) / (total - 1)) ** 0.5
+    return min(most, max(least, round(take * share + deviation * generator.standard_normal())))
+
+
+def draw_split(counts: DataFrame, share: float = 0.75, seed: int = 0) -> DataFrame:
+    """``(lf, metadata, part, n, p)`` as ``split_marginals``, drawn from the counts without a row for each observation.
+
+    How many of a cell's observations fall to the first part is hypergeometric, given what earlier cells took; a sense's
+    cells are drawn in blocks of at most about ``CELLS``, whose totals are drawn the same way first. So the rows are the
+    cells, no group is unbounded, and a sense's parts have their exact sizes. Draws depend on names, order and seed only.
+    """
+    cells = counts.select("lf", "metadata", F.col("n").cast("bigint").alias("n"))
+    sizes = cells.groupBy("lf").agg(F.count(F.lit(1)).alias("cells"), F.floor(F.sum("n") * share).cast("bigint").alias("take"))
+    many = F.ceil(F.col("cells") / CELLS)
+    placed = stage(cells.join(sizes, "lf").withColumn("block", F.pmod(F.xxhash64("metadata"), many)), "cells")
+    blocks = placed.groupBy("lf", "block").agg(F.sum("n").alias("n"), F.first("take").alias("take"))
+    of_block = blocks.withColumn("order", F.col("block")).groupBy("lf").applyInPandas(
+        _drawn(["lf"], seed), "lf string, block long, n long, take long, order long, taken long")
+    asked = placed.drop("take", "cells").join(of_block.select("lf", "block", F.col("taken").alias("take")), ["lf", "block"])
+    drawn = asked.withColumn("order", F.col("metadata").cast("string")).groupBy("lf", "block").applyInPandas(
+        _drawn(["lf", "block"], seed), T.StructType([*asked.schema.fields, T.StructField("order", T.StringType()), T.StructField("taken", T.LongType())]))
+    long = drawn.select("lf", "metadata", F.inline(F.array(
+        F.struct(F.lit("train").alias("part"), (F.col("taken") + 1).alias("n")),
+        F.struct(F.lit("val").alias("part"), (F.col("n") - F.col("taken") + 1).alias("n")),
+    )))
+    return _shares(long, ["lf", "part"])
+
+
 def sense_breakdown(examples: DataFrame, metadata: str = "section") -> DataFrame:
     """Counts per short form, sense and metadata value, with subtotals per sense and short form."""
     return examples.rollup("sf", "target_lf", metadata).agg(F.count(F.lit(1)).alias("n")).where(F.col("sf").isNotNull())

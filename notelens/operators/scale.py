@@ -80,13 +80,32 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+#: Keys that the sketch of frequent keys tracks; its counts are too high by at most 3.5 / TRACKED of all rows.
+TRACKED = 1 << 17
+
+
+def frequent_keys(df: DataFrame, key: str, share: float) -> list:
+    """All keys that hold at least ``share`` of the rows with a key, and maybe a few that hold nearly as much.
+
+    One pass with a mergeable sketch of bounded size. What it counts too much is bounded, and it counts nothing too little,
+    so no frequent key is missed; the list is no longer than the keys that can hold the share less that bound.
+    """
+    slack = 3.5 / TRACKED
+    if share <= 2 * slack:
+        raise ValueError(f"shares of {2 * slack} and less are too small for the sketch")
+    most = math.ceil(1 / (share - slack))
+    rows, found = df.where(F.col(key).isNotNull()).agg(
+        F.count(F.lit(1)), F.expr(f"approx_top_k(`{key}`, {min(most, TRACKED)}, {TRACKED})")).first()
+    return [x["item"] for x in found if x["count"] >= share * rows]
+
+
 def lookup_join(
     left: DataFrame, right: DataFrame, on: str, how: str = "inner", weight: str | None = None
 ) -> DataFrame:
     """Join ``left`` to the keyed table ``right`` (one row per key, already staged).
 
     Beyond the broadcast bound, ``weight`` (a column of ``right``: how often
-    each key occurs on the left; none: they are counted) tells the hot keys. There are at most ``1 / HOT_SHARE`` of them, and
+    each key occurs on the left; none: a sketch of the left side finds the frequent ones) tells the hot keys. There are at most ``1 / HOT_SHARE`` of them, and
     their rows are broadcast if their measured size allows it; the other keys
     are shuffled. Rows already served, and rows with a null key, get
     spread-out keys that match nothing. A key without a weight is not hot.
@@ -95,10 +114,14 @@ def lookup_join(
         return left.join(F.broadcast(right), on, how)
     payload = [c for c in right.columns if c != on]
     if weight is None:
-        counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("_weight"))
-        right, weight = stage(right.join(counts, on, "left"), "weighted"), "_weight"
-    cut = (right.agg(F.sum(weight)).first()[0] or 0) * HOT_SHARE
-    is_hot = F.coalesce(F.col(weight) >= F.lit(cut), F.lit(False)) & F.lit(cut > 0)
+        keys = [(k, True) for k in frequent_keys(left, on, HOT_SHARE)]
+        schema = T.StructType([T.StructField(on, left.schema[on].dataType), T.StructField("_is_hot", T.BooleanType())])
+        listed = left.sparkSession.createDataFrame(keys, schema)  # 1 / HOT_SHARE rows, about, at most
+        right = right.join(F.broadcast(listed), on, "left")
+        is_hot = F.coalesce("_is_hot", F.lit(False))
+    else:
+        cut = (right.agg(F.sum(weight)).first()[0] or 0) * HOT_SHARE
+        is_hot = F.coalesce(F.col(weight) >= F.lit(cut), F.lit(False)) & F.lit(cut > 0)
     if not fits_broadcast(right.where(is_hot)):
         is_hot = F.lit(False)
     hot = right.where(is_hot).select(on, F.struct(*payload).alias("_hot"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from notelens.functions import text as tx
 from notelens.functions.hashing import uniform
-from notelens.operators.scale import lookup_join, number_rows, running_total, sized, stage
+from notelens.operators.scale import carry_last, lookup_join, number_rows, running_total, sized, stage
 
 #: Order of the kinds in a vocabulary.
 KIND_RANK = {"pad": 0, "token": 1, "section": 2, "category": 3}
@@ -251,6 +251,57 @@ def weighted_draw(draws: DataFrame, slices: DataFrame, u: str, name: str) -> Dat
     )
 
 
+def alias_table(dist: DataFrame) -> DataFrame:
+    """``(cell, id, cut, other)``: as many cells of equal mass as ids; a cell is its id's up to ``cut``, then another one's.
+
+    ``dist(id, p)`` must be staged. Masses are whole numbers whose sum the number of cells divides. Ids below a cell's mass
+    lack something, the others have something over; both are added up along the ids. An id that lacks is filled by the one
+    over whose stretch its own begins, wholly. Where that takes more than the stretch, the filler's own cell is filled
+    by the next one over. So each cell has two ids at most, and all of it is running totals and as-of lookups: no
+    queue of ids is worked off one by one.
+    """
+    positive = dist.where(F.col("p") > 0).select("id", "p")
+    n, whole = positive.agg(F.count(F.lit(1)), F.sum("p")).first()
+    if not n:
+        return positive.select(F.lit(0).cast("bigint").alias("cell"), "id", F.lit(1.0).alias("cut"), F.col("id").alias("other"))
+    mass = (1 << 52) // n
+    total = mass * n
+    units = F.floor(F.col("p") / F.lit(whole) * F.lit(total * (1 - 1e-9))).cast("bigint")
+    numbered = stage(number_rows(stage(positive.withColumn("units", units), "masses"), ["id"], "cell"), "cells")
+    left = total - numbered.agg(F.sum("units")).first()[0]
+    own = F.col("units") + F.lit(left // n) + F.when(F.col("cell") < left % n, 1).otherwise(0)
+    cells = numbered.select("id", "cell", own.cast("bigint").alias("own"))
+    lack, over = F.greatest(F.lit(mass) - F.col("own"), F.lit(0)), F.greatest(F.col("own") - F.lit(mass), F.lit(0))
+    lacking = running_total(stage(cells.where(F.col("own") < mass), "lacking"), ["cell"], lack, "at")
+    having = running_total(stage(cells.where(F.col("own") >= mass), "having"), ["cell"], over, "at")
+    lacking = stage(lacking.select("id", "cell", "own", "at", (F.col("at") + lack).alias("end")), "lacking")
+    having = stage(having.select("id", "cell", "own", "at", (F.col("at") + over).alias("end")), "having")
+    # ids over come first at equal places when they fill, so that the last one that begins there does
+    none = F.lit(None).cast(cells.schema["id"].dataType)
+    fill = having.select("at", F.lit(0).alias("kind"), "cell", "id", F.col("id").alias("filler"), "own").unionByName(
+        lacking.select("at", F.lit(1).alias("kind"), "cell", "id", none.alias("filler"), "own"))
+    filled = carry_last(stage(fill, "fill"), ["at", "kind", "cell"], "filler", "other").where("kind = 1")
+    # how far the last one reaches that began before an id's end
+    reach = having.select(F.col("end").alias("at"), F.lit(0).alias("kind"), "cell", "id", F.lit(None).cast("bigint").alias("reached")).unionByName(
+        lacking.select("at", F.lit(1).alias("kind"), "cell", "id", F.col("end").alias("reached")))
+    reached = carry_last(stage(reach, "reach"), ["at", "kind", "cell"], "reached", "most").where("kind = 0")
+    following = carry_last(having.select("cell", "id"), [F.desc("cell")], "id", "other").select("cell", "other")
+    taken = F.greatest(F.coalesce("most", F.lit(0)) - F.col("at"), F.lit(0))
+    share = lambda x: x / F.lit(float(mass))
+    return filled.select("cell", "id", share(F.col("own")).alias("cut"), "other").unionByName(
+        reached.join(following, "cell").select("cell", "id", share(F.lit(mass) - taken).alias("cut"), F.coalesce("other", "id").alias("other")))
+
+
+def alias_draw(draws: DataFrame, table: DataFrame, u: str, name: str) -> DataFrame:
+    """Turn uniforms into ids by a staged ``alias_table``: every draw meets exactly one row, and draws spread evenly over them."""
+    n = table.count()
+    at = F.col(u) * F.lit(n)
+    keyed = draws.withColumn("_cell", F.least(F.floor(at), F.lit(n - 1)).cast("bigint")).withColumn("_in", at - F.col("_cell"))
+    cells = sized(table.select(F.col("cell").alias("_cell"), F.col("id").alias("_own"), F.col("cut").alias("_cut"), F.col("other").alias("_other")))
+    found = F.when(F.col("_in") < F.col("_cut"), F.col("_own")).otherwise(F.col("_other"))
+    return keyed.join(cells, "_cell").withColumn(name, found).drop("_cell", "_in", "_own", "_cut", "_other")
+
+
 def frequency_export(vocab: DataFrame, special: Sequence[str] = ("<S>", "</S>", "<UNK>")) -> DataFrame:
     """``(line_no, line)``: special lines, then words by falling support. ``vocab`` must be staged."""
     words = vocab.where(F.col("kind") == "token")

@@ -116,33 +116,54 @@ def last_before(events: DataFrame, probes: DataFrame, key: str, at: str, value:
     )
 
 
+#: Characters of names in one automaton, and of the names that it reads in one task.
+PART_CHARS = 4_000_000
+
+
+def contained_names(names: DataFrame, name: str = "section") -> DataFrame:
+    """``pairs(container, inside)``: names that occur in another one behind its first character.
+
+    Names are dealt into parts; the automaton of a part reads every name once, in blocks, so the work follows the total
+    length of the names and the rows are the pairs themselves. With few names there is one part, and blocks for all cores.
+    """
+    import ahocorasick
+    import pyarrow as pa
+
+    whole = names.select(F.col(name).alias("name")).where(F.length(name) > 0).distinct()
+    chars = whole.agg(F.sum(F.length("name"))).first()[0] or 0
+    parts = max(1, -(-chars // PART_CHARS))
+    blocks = max(parts, names.sparkSession.sparkContext.defaultParallelism)
+    deal = lambda n, seed: F.pmod(F.xxhash64("name", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    known = whole.select("name", deal(parts, 1).alias("part")).select("name", "part", every(blocks).alias("block"))
+    read = whole.select("name", deal(blocks, 2).alias("block")).select("name", every(parts).alias("part"), "block")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        automaton = ahocorasick.Automaton()
+        for text in left["name"].to_pylist():
+            automaton.add_word(text, text)
+        containers, inside = [], []
+        if left.num_rows:
+            automaton.make_automaton()
+            for text in right["name"].to_pylist():
+                found = {word for end, word in automaton.iter(text) if end >= len(word)}
+                containers += [text] * len(found)
+                inside += sorted(found)
+        return pa.table({"container": pa.array(containers, pa.string()), "inside": pa.array(inside, pa.string())})
+
+    by = ["part", "block"]
+    return known.groupBy(*by).cogroup(read.groupBy(*by)).applyInArrow(meet, "container string, inside string")
+
+
 def header_levels(sections: DataFrame, max_levels: int = 10) -> DataFrame:
     """``(section, level)``: names that lie inside a longer name come on later levels.
 
     A name is contained when it occurs in the other behind its first
     character. The level is the length of the longest chain of containing
-    names. Containment is found by joining each name to the inner substrings
-    of the others, so names are never compared pairwise.
+    names.
     """
-    names = sections.select("section", F.length("section").alias("chars"))
-    inner = F.explode(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(2), F.greatest(F.col("chars"), F.lit(2))),
-                lambda s: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.col("chars") - s + 1, F.lit(1))),
-                    lambda n: F.substring(F.col("section"), s, n),
-                ),
-            )
-        )
-    ).alias("inside")
-    inside = names.where(F.col("chars") > 1).select(F.col("section").alias("container"), inner).distinct()
-    pairs = stage(
-        inside.join(names.select(F.col("section").alias("inside")), "inside").where(
-            F.col("inside") != F.col("container")
-        ),
-        "section-pairs",
-    )
+    names = sections.select("section")
+    pairs = stage(contained_names(sections), "section-pairs")
     level = names.select("section", F.lit(0).alias("level"))
     for _ in range(max_levels - 1):
         deeper = (

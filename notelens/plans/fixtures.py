@@ -80,12 +80,8 @@ def ids(spark: SparkSession, sf: str) -> DataFrame:
     return vo.id_stream(stream, vocab(spark, sf, stream))
 
 
-def senses(spark: SparkSession, sf: str) -> DataFrame:
-    """``senses(sf, lf_idx, lf, n)``: frequent word pairs as long forms, their initials as short forms.
-
-    The ten most frequent pairs of a short form make up to five long forms of
-    one or two synonyms each.
-    """
+def frequent_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """``(sf, pair, n)``: all pairs of words that occur five times, with their initials as short form."""
     words = documents(spark, sf).select(F.split(F.lower("text"), tx.SPACES).alias("w"))
     pairs = F.filter(
         tx.let(F.col("w"), lambda w: F.transform(w, lambda a, i: F.concat_ws(" ", a, F.get(w, i + 1)))),
@@ -95,7 +91,22 @@ def senses(spark: SparkSession, sf: str) -> DataFrame:
     initials = F.upper(
         F.concat(F.substring("pair", 1, 1), F.substring(F.substring_index("pair", " ", -1), 1, 1))
     )
-    frequent = counted.where(F.col("n") >= 5).withColumn("sf", initials)
+    return counted.where(F.col("n") >= 5).withColumn("sf", initials)
+
+
+def dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """``dictionary(sf, lf)``: every frequent pair is in a long form; some share one by their digests, as synonyms."""
+    pairs = frequent_pairs(spark, sf).withColumn("bucket", F.substring(F.md5(F.col("pair").cast("binary")), 1, 3))
+    return pairs.groupBy("sf", "bucket").agg(F.array_join(F.array_sort(F.collect_list("pair")), ";").alias("lf")).select("sf", "lf")
+
+
+def senses(spark: SparkSession, sf: str) -> DataFrame:
+    """``senses(sf, lf_idx, lf, n)``: an inventory of the commonest pairs.
+
+    The ten most frequent pairs of a short form make up to five long forms of
+    one or two synonyms each.
+    """
+    frequent = frequent_pairs(spark, sf)
     top = first_k_in_group(frequent, ["sf"], [F.desc("n"), "pair"], 10)
     ranked = top.groupBy("sf").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), F.col("pair")))).alias("top")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from notelens.functions import text as tx
 from notelens.operators import marginals as ma
 from notelens.operators import mining as mi
-from notelens.operators.scale import stage
+from notelens.operators.scale import sized, stage
 from notelens.plans import fixtures as fx
 from notelens.plans import sql as s
 from notelens.plans.registry import documents, register
@@ -33,6 +33,14 @@ SELECT doc_id, word_at, lf, sf, lf_idx FROM (
 WHERE k % 2 = 1""")
 
 
+# the same with every frequent pair in the dictionary
+s.define("dictionary", ("pair_counts",), """
+SELECT sf, 0 AS lf_idx, string_agg(pair, ';' ORDER BY pair) AS lf FROM pair_counts GROUP BY sf, substr(md5(pair), 1, 3)""")
+s.define("all_entries", ("dictionary",), s.CTE["entries"][1].replace("senses", "dictionary"))
+s.define("all_raw_hits", ("note_words", "all_entries"), s.CTE["raw_hits"][1].replace("JOIN entries", "JOIN all_entries"))
+s.define("all_hits", ("all_raw_hits",), s.CTE["hits"][1].replace("raw_hits", "all_raw_hits"))
+
+
 def _head(c: str) -> str:
     return f"{c}[CASE WHEN len({c}) > 0 AND {LONE.format(c + '[1]')} THEN 2 ELSE 1 END:]"
 
@@ -52,6 +60,9 @@ SELECT doc_id, category, lf, sf, lf_idx, word_at, lf_match,
       FROM hits h JOIN note_words n USING (doc_id))))""")
 
 
+s.define("all_contexts", ("all_hits", "note_words"), s.CTE["contexts"][1].replace("FROM hits", "FROM all_hits"))
+
+
 def _senses(spark, sf):
     return stage(fx.senses(spark, sf), "senses")
 
@@ -65,9 +76,9 @@ def _labels(senses):
     return senses.select("sf", F.col("lf").alias("target_lf_sense"), "lf")
 
 
-@register("r01_dictionary_scan", s.with_("SELECT doc_id, lf, count(*) AS n, sum(word_at)::BIGINT AS places FROM hits GROUP BY ALL", "hits"))
+@register("r01_dictionary_scan", s.with_("SELECT doc_id, lf, count(*) AS n, sum(word_at)::BIGINT AS places FROM all_hits GROUP BY ALL", "all_hits"))
 def dictionary_scan(spark, sf):
-    entries = stage(mi.long_form_entries(_senses(spark, sf)), "entries")
+    entries = stage(mi.long_form_entries(fx.dictionary(spark, sf)), "entries")
     chosen = mi.choose(mi.scan(fx.notes(spark, sf), entries))
     return chosen.select("doc_id", "lf", F.inline("kept")).groupBy("doc_id", "lf").agg(
         F.count(F.lit(1)).alias("n"), F.sum("at").alias("places")
@@ -103,9 +114,10 @@ def inflected_entries(spark, sf):
     return mi.with_inflections(entries, forms).select("lf", "phrase")
 
 
-@register("r04_word_contexts", s.with_("SELECT doc_id, category, lf, word_at::BIGINT AS word_at, lf_match, context FROM contexts", "contexts"))
+@register("r04_word_contexts", s.with_(
+    "SELECT doc_id, category, lf, word_at::BIGINT AS word_at, lf_match, context FROM all_contexts", "all_contexts"))
 def word_contexts(spark, sf):
-    return _contexts(spark, sf)[0].select("doc_id", "category", "lf", F.col("at").cast("bigint").alias("word_at"), "lf_match", "context")
+    return mi.long_form_contexts(fx.notes(spark, sf), fx.dictionary(spark, sf)).select("doc_id", "category", "lf", F.col("at").cast("bigint").alias("word_at"), "lf_match", "context")
 
 
 @register("r06_document_contexts", s.with_("""
@@ -317,6 +329,19 @@ def split_marginals(spark, sf):
     return ma.split_marginals(_section_counts(spark, sf)[0]).withColumn("p", F.round("p", 9))
 
 
+@register("m04_drawn_margins", s.with_("""
+SELECT lf, metadata, sum(n)::BIGINT - 2 AS n, sum(sum(n) FILTER (part = 'train')) OVER (PARTITION BY lf)::BIGINT AS n_train,
+       sum(sum(n) FILTER (part = 'val')) OVER (PARTITION BY lf)::BIGINT AS n_val FROM parts GROUP BY lf, metadata""", "parts"))
+def drawn_margins(spark, sf):
+    """What does not depend on the draw: each cell's total, and the sizes of both parts of a sense."""
+    parts = ma.draw_split(_section_counts(spark, sf)[0])
+    of = lambda part: F.sum(F.when(F.col("part") == part, F.col("n")).otherwise(0))
+    cells = parts.groupBy("lf", "metadata").agg((F.sum("n") - 2).alias("n"), of("train").alias("train"), of("val").alias("val"))
+    cells = stage(cells, "drawn-cells")
+    sums = cells.groupBy("lf").agg(F.sum("train").alias("n_train"), F.sum("val").alias("n_val"))
+    return cells.select("lf", "metadata", "n").join(sized(sums), "lf")
+
+
 @register("m05_sense_breakdown", s.with_("""
 SELECT sf, coalesce(lf, '') AS target_lf, coalesce(section, '') AS section, count(*) AS n
 FROM finished GROUP BY GROUPING SETS ((sf, lf, section), (sf, lf), (sf))""", "finished"))

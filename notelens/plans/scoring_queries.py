@@ -215,7 +215,7 @@ def hinge_loss(spark, sf):
     words = stage(words.select("gpos", "center_id", F.element_at("left_ids", -1).alias("positive_id")), "positives")
     slices = stage(vo.cumulative(stage(vo.sampling_distribution(vocab), "dist")), "slices")
     drawn = ex.negatives(words, slices, 1).select("gpos", "negative_id")
-    loss = sc.hinge_loss(words.join(drawn, "gpos"), sized(_id_gauss(spark, sf, vocab)), 0.001)
+    loss = sc.hinge_loss(words.join(drawn, "gpos"), stage(_id_gauss(spark, sf, vocab), "gaussians"), 0.001)
     return loss.select(F.round("hinge", 5).alias("hinge"), "n")
 
 

@@ -298,6 +298,45 @@ def weighted_draws(spark, sf):
     return vo.weighted_draw(draws, slices, "u", "id").select("draw_id", "id")
 
 
+s.define("alias_items", ("negative_p",), """
+SELECT *, (4503599627370496 // n) AS q, row_number() OVER (ORDER BY id) - 1 AS cell,
+       floor(p / whole * ((4503599627370496 // n) * n * (1 - 1e-9)))::BIGINT AS units
+FROM (SELECT id, p, count(*) OVER () AS n, sum(p) OVER () AS whole FROM negative_p WHERE p > 0)""")
+s.define("alias_own", ("alias_items",), """
+SELECT id, cell, n, q, units + l // n + CASE WHEN cell < l % n THEN 1 ELSE 0 END AS own
+FROM (SELECT *, q * n - sum(units) OVER ()::BIGINT AS l FROM alias_items)""")
+s.define("alias_sides", ("alias_own",), """
+SELECT *, coalesce(sum(abs(own - q)) OVER (PARTITION BY own < q ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins,
+       lead(id) OVER (PARTITION BY own < q ORDER BY cell) AS following FROM alias_own""")
+s.define("alias_cells", ("alias_sides",), """
+SELECT cell, id, own / q::DOUBLE AS cut,
+       (SELECT arg_max(h.id, h.cell) FROM alias_sides h WHERE h.own >= h.q AND h.begins = (
+          SELECT max(g.begins) FROM alias_sides g WHERE g.own >= g.q AND g.begins <= l.begins)) AS other
+FROM alias_sides l WHERE own < q
+UNION ALL
+SELECT cell, id, (q - greatest(0, coalesce((SELECT max(l.begins + l.q - l.own) FROM alias_sides l WHERE l.own < l.q AND l.begins < h.begins + h.own - h.q), 0)
+                               - (begins + own - q))) / q::DOUBLE AS cut, coalesce(following, id) AS other
+FROM alias_sides h WHERE own >= q""")
+
+
+@register("v10_alias_table", s.with_("SELECT cell, id, round(cut, 6) AS cut, other FROM alias_cells", "alias_cells"))
+def alias_table(spark, sf):
+    dist = stage(vo.sampling_distribution(fx.vocab(spark, sf)), "dist")
+    return vo.alias_table(dist).select("cell", "id", F.round("cut", 6).alias("cut"), "other")
+
+
+@register("v10_alias_draws", s.with_(f"""
+SELECT draw_id, CASE WHEN u * n - cell < cut THEN id ELSE other END AS id
+FROM (SELECT event_id AS draw_id, {s.u('event_id', seed=3)} AS u, (SELECT count(*) FROM alias_cells) AS n FROM events) d
+JOIN alias_cells c ON c.cell = floor(d.u * d.n)""", "alias_cells"))
+def alias_draws(spark, sf):
+    from notelens.functions.hashing import uniform
+
+    dist = stage(vo.sampling_distribution(fx.vocab(spark, sf)), "dist")
+    draws = table(spark, sf, "events").select(F.col("event_id").alias("draw_id"), uniform("event_id", seed=3).alias("u"))
+    return vo.alias_draw(draws, stage(vo.alias_table(dist), "alias"), "u", "id").select("draw_id", "id")
+
+
 @register("v11_frequency_export", s.with_("""
 SELECT row_number() OVER (ORDER BY support DESC, id) + 2 AS line_no, token AS line FROM vocab WHERE kind = 'token'
 UNION ALL SELECT unnest([0, 1, 2]), unnest(['<S>', '</S>', '<UNK>'])""", "vocab"))

@@ -180,3 +180,43 @@ def test_scores_are_the_same_beyond_the_broadcast_bound(spark, monkeypatch):
         if hasattr(module, "BROADCAST_BYTES"):
             monkeypatch.setattr(module, "BROADCAST_BYTES", 1)
     assert sorted(map(str, sc.score_by_kl(examples, senses).collect())) == want
+
+
+def test_frequent_keys_are_a_superset(spark, monkeypatch):
+    monkeypatch.setattr(scale, "TRACKED", 1 << 10)
+    rows = spark.range(200_000).repartition(7).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(
+        F.col("id") % 3 == 1, F.concat(F.lit("k"), F.floor(F.sqrt("id")) % 90)).otherwise(F.col("id").cast("string")).alias("k"))
+    rows = rows.union(spark.range(5000).select(F.lit(None).cast("string")))
+    counts = {r.k: r["count"] for r in rows.where("k is not null").groupBy("k").count().collect()}
+    for share in (0.3, 0.01, 0.0078):
+        found = set(scale.frequent_keys(rows, "k", share))
+        must = {k for k, n in counts.items() if n >= share * 200_000}
+        assert must <= found and len(found) <= 1 / (share - 3.5 / (1 << 10)) + 1
+        assert all(counts[k] >= (share - 3.5 / (1 << 10)) * 200_000 for k in found)
+    assert scale.frequent_keys(rows.limit(0), "k", 0.1) == []
+    with pytest.raises(ValueError):
+        scale.frequent_keys(rows, "k", 1e-4)
+
+
+@pytest.mark.parametrize("weights", [[1], [5, 5, 5], [1, 1, 98], [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9], [*range(1, 60), 0, 4000], [10] * 7 + [9] * 3 + [13]])
+def test_alias_tables_hold_the_masses(spark, small_tasks, weights):
+    total = sum(weights)
+    dist = scale.stage(spark.createDataFrame([(k + 1, w / total) for k, w in enumerate(weights)], "id long, p double"), "dist")
+    table = scale.stage(vo.alias_table(dist), "alias").orderBy("cell").collect()
+    assert [r.cell for r in table] == list(range(sum(w > 0 for w in weights))) and all(0 < r.cut <= 1 for r in table)
+    held = dict.fromkeys(range(1, len(weights) + 1), 0.0)
+    for r in table:
+        held[r.id] += r.cut / len(table)
+        held[r.other] += (1 - r.cut) / len(table)
+    assert all(abs(held[k + 1] - w / total) < 1e-8 for k, w in enumerate(weights))
+
+
+def test_alias_draws_follow_the_masses(spark):
+    weights = [1, 2, 3, 4, 30, 7, 0, 53]
+    dist = scale.stage(spark.createDataFrame([(k, w / 100) for k, w in enumerate(weights)], "id long, p double"), "dist")
+    draws = spark.range(20_000).select("id", uniform("id", seed=8).alias("u"))
+    drawn = vo.alias_draw(draws.withColumnRenamed("id", "n"), scale.stage(vo.alias_table(dist), "alias"), "u", "id")
+    seen = {r.id: r["count"] for r in drawn.groupBy("id").count().collect()}
+    chi = sum((seen.get(k, 0) - 200 * w) ** 2 / (200 * w) for k, w in enumerate(weights) if w)
+    assert sum(seen.values()) == 20_000 and 6 not in seen and chi < 22  # 6 degrees of freedom: 0.1 %
+    assert vo.alias_table(scale.stage(dist.where("p > 2"), "none")).count() == 0
