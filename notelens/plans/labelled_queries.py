@@ -361,13 +361,67 @@ def split_by_key(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("r05_paragraph_contexts")
+# Line ends that split the text of a document.
+BREAKS = r"[\n\r\x0b\f\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
+s.define("line_texts", ("corpus_lines",), f"""
+SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{s.SP}+'), lambda x: x <> '') AS w,
+       list_transform(regexp_split_to_array(text, '{BREAKS}'), lambda l: len(list_filter(regexp_split_to_array(l, '{s.SP}+'), lambda x: x <> ''))) AS sizes
+FROM (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM corpus_lines GROUP BY doc_id)""")
+s.define("line_words", ("line_texts",), """
+SELECT doc_id, w, list_transform(w, lambda x: lower(x)) AS lw,
+       [{'s': list_sum(sizes[1:i - 1])::BIGINT, 'e': list_sum(sizes[1:i])::BIGINT} FOR i IN range(1, len(sizes) + 1)] AS ends FROM line_texts""")
+s.define("line_raw_hits", ("line_words", "entries"), s.CTE["raw_hits"][1].replace("note_words", "line_words"))
+s.define("line_hits", ("line_raw_hits",), s.CTE["hits"][1].replace("raw_hits", "line_raw_hits"))
+_W = f"[{tx.WORD_CHARS}]+"
+s.define("sides", ("line_hits", "line_words"), f"""
+SELECT h.doc_id, h.lf, h.word_at AS b, h.word_at + 2 AS f, w, list_transform(ends, lambda x: {{'s': coalesce(x.s, 0), 'e': coalesce(x.e, 0)}}) AS ln,
+       regexp_replace(w[word_at + 1], '{_W}$', '') AS lp, regexp_replace(w[word_at + 2], '^{_W}', '') AS rp,
+       len(regexp_extract_all(w[word_at + 1], '{_W}|[^{tx.WORD_CHARS}]+')) - 1 AS first,
+       coalesce(lag(word_at) OVER (PARTITION BY h.doc_id, h.lf ORDER BY word_at) + 2 = word_at AND regexp_full_match(w[word_at], '{_W}')
+                AND regexp_full_match(w[word_at + 1], '{_W}'), false) AS taken
+FROM line_hits h JOIN line_words USING (doc_id)""")
+s.define("side_lines", ("sides",), """
+SELECT *, [array_to_string(w[x.s + 1:least(x.e, b)], ' ') FOR x IN ln IF x.s < b] AS l0,
+       [array_to_string(w[greatest(x.s, f) + 1:x.e], ' ') FOR x IN ln IF (x.e > x.s AND x.e > f) OR (x.e = x.s AND x.s > f)] AS r0,
+       len([1 FOR x IN ln IF x.s = b]) AS at_left, len([1 FOR x IN ln IF x.s = f]) + CASE WHEN ln[-1].e = f THEN 1 ELSE 0 END AS at_right,
+       [x FOR x IN [lp] IF x <> ''] AS lps, [x FOR x IN [rp] IF x <> ''] AS rps FROM sides""")
+s.define("side_texts", ("side_lines",), """
+SELECT doc_id, lf, b, first,
+       CASE WHEN taken AND at_left > 0 THEN list_concat(l0, list_transform(range(at_left), lambda x: ''))
+            WHEN lp = '' THEN l0
+            WHEN at_left > 0 OR len(l0) = 0 THEN list_concat(l0, list_transform(range(greatest(at_left - 1, 0)), lambda x: ''), lps)
+            ELSE list_concat(l0[:len(l0) - 1], [array_to_string([x FOR x IN [l0[-1], lp] IF x <> ''], ' ')]) END AS l1,
+       CASE WHEN rp = '' THEN r0
+            WHEN at_right > 0 OR len(r0) = 0 THEN list_concat(rps, list_transform(range(greatest(at_right - 1, 0)), lambda x: ''), r0)
+            ELSE list_concat([array_to_string([x FOR x IN [rp, r0[1]] IF x <> ''], ' ')], r0[2:]) END AS r1
+FROM side_lines""")
+_LONE = "len({0}) = 1 AND NOT regexp_matches({0}, '^[\\p{{L}}\\p{{N}}]$')"
+
+
+def _cut(side, test, tail):
+    """Drop the first or last of a list if it passes a test; null (an empty list's) never does."""
+    end = f"{side}[{'-1' if tail else '1'}]"
+    rest = f"{side}[:len({side}) - 1]" if tail else f"{side}[2:]"
+    return f"CASE WHEN len({side}) > 0 AND {test.format(end)} THEN {rest} ELSE {side} END AS {side}"
+
+
+_from = "side_texts"
+for _tail, _test in ((False, _LONE), (False, "{0} = ''"), (True, _LONE), (True, "{0} = ''")):
+    _from = f"(SELECT doc_id, lf, b, first, {_cut('l1', _test, _tail)}, {_cut('r1', _test, _tail)} FROM {_from})"
+
+
+@register("r05_paragraph_contexts", s.with_(f"""
+SELECT doc_id, lf, b AS at, first::BIGINT AS first, array_to_string(list_concat(
+         CASE WHEN list_contains(l1, '') THEN l1[len(l1) - list_position(list_reverse(l1), '') + 2:] ELSE l1 END, ['{tx.TARGET}'],
+         CASE WHEN list_contains(r1, '') THEN r1[:list_position(r1, '') - 1] ELSE r1 END), ' ') AS context
+FROM {_from}""", "side_texts"))
 def paragraph_contexts(spark, sf):
     lines = stage(fx.corpus_lines(spark, sf), "lines")
     texts = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")).select(
         "doc_id", F.array_join("l.line", "\n").alias("text"))
     texts = stage(texts, "texts")
     entries = stage(mi.long_form_entries(fx.senses(spark, sf)), "entries")
-    return mi.paragraph_contexts(texts, mi.choose(mi.scan(texts, entries)))
+    found = mi.paragraph_contexts(texts, mi.choose(mi.scan(texts, entries)))
+    return found.select("doc_id", "lf", F.col("at").cast("bigint").alias("at"), F.col("first").cast("bigint").alias("first"), "context")
 
 
