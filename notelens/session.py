@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +22,35 @@ RECOMMENDED = {
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
+#: Folders of open scopes.
+_SCOPES: dict[str, str] = {}
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[str]:
+    """Stage tables written inside go to a folder of their own, which is removed at the end.
+
+    Results must be written or collected inside: what is read lazily from a stage table is gone afterwards. Scopes may be
+    nested; the inner one's tables go first.
+    """
+    application = spark.sparkContext.applicationId
+    outer = _SCOPES.get(application)
+    folder = f"{stage_dir(spark)}/scope-{uuid.uuid4().hex}"
+    _SCOPES[application] = folder
+    try:
+        yield folder
+    finally:
+        if outer is None:
+            del _SCOPES[application]
+        else:
+            _SCOPES[application] = outer
+        for table in spark.catalog.listTables():
+            if not table.isTemporary and folder in str(spark.sql(f"DESCRIBE TABLE EXTENDED `{table.name}`").where("col_name = 'Location'").first()):
+                spark.sql(f"DROP TABLE `{table.name}`")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def build_session(app: str = "notelens", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in {**RECOMMENDED, **conf}.items():
@@ -33,6 +65,8 @@ def stage_dir(spark: SparkSession) -> str:
     folder. A cluster session without it is refused, because a machine-local
     folder is not readable from the other executors.
     """
+    if spark.sparkContext.applicationId in _SCOPES:
+        return _SCOPES[spark.sparkContext.applicationId]
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder

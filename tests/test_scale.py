@@ -220,3 +220,21 @@ def test_alias_draws_follow_the_masses(spark):
     chi = sum((seen.get(k, 0) - 200 * w) ** 2 / (200 * w) for k, w in enumerate(weights) if w)
     assert sum(seen.values()) == 20_000 and 6 not in seen and chi < 22  # 6 degrees of freedom: 0.1 %
     assert vo.alias_table(scale.stage(dist.where("p > 2"), "none")).count() == 0
+
+
+def test_stage_tables_of_a_scope_are_removed(spark):
+    import os
+
+    from notelens.session import stage_scope
+
+    kept = scale.stage(spark.range(5), "kept")
+    with stage_scope(spark) as folder:
+        inside = scale.stage(spark.range(7), "inside")
+        bucketed = scale.stage_by(spark.range(9).selectExpr("id as doc_id", "id as pos"), "doc_id", "pos", "inside")
+        assert inside.count() == 7 and bucketed.count() == 9 and folder in inside.inputFiles()[0] + bucketed.inputFiles()[0]
+        with stage_scope(spark) as inner:
+            assert inner.startswith(folder) and scale.stage(spark.range(3)).count() == 3
+        assert inside.count() == 7
+        assert os.path.isdir(folder) and not os.path.isdir(inner)
+    assert not os.path.isdir(folder) and kept.count() == 5
+    assert stage_dir(spark) != folder and not [t for t in spark.catalog.listTables() if t.name.startswith("inside")]
