@@ -128,27 +128,32 @@ def with_anchors(entries: DataFrame, counts: DataFrame | None = None) -> DataFra
         n_parts(F.lit(0)).alias("n_first"), n_parts(F.col("n_words") - 1).alias("n_last"))
 
 
-def anchor_places(words: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """A row for every place of ``words(doc_id, words)`` where an anchor may be: ``words``, ``at``, ``seg``, ``key``.
+def anchor_places(words: DataFrame, kinds: Sequence[str], longest: int) -> DataFrame:
+    """A row for every place of ``words(doc_id, words)`` where an anchor may be: ``at``, ``seg``, ``key``, ``low``, ``words``.
 
-    No phrase is built here; only the two parts on both sides of a break, or the parts of a word, are hashed.
+    No phrase is built here; only the two parts on both sides of a break, or the parts of a word, are hashed. A row
+    carries the words from number ``low`` on that an entry of ``longest`` words at most can reach, never the whole text:
+    rows of long texts would else grow with the square of their length.
     """
-    rows = words.select("doc_id", "words", F.posexplode("words").alias("at", "word"))
-    following = F.get("words", F.col("at") + 1)
-    at_break = _anchor(BREAK, F.regexp_extract("word", LAST, 0), F.regexp_extract(following, FIRST, 0))
+    low = lambda i: F.greatest(i - (longest - 1), F.lit(0))
+    near = F.transform("words", lambda w, i: F.struct(
+        i.alias("at"), w.alias("word"), F.get("words", i + 1).alias("following"), low(i).alias("low"),
+        F.slice("words", low(i) + 1, i - low(i) + longest).alias("words")))
+    rows = words.select("doc_id", F.inline(near))
+    at_break = _anchor(BREAK, F.regexp_extract("word", LAST, 0), F.regexp_extract("following", FIRST, 0))
     if list(kinds) == [BREAK]:
-        return rows.where(following.isNotNull()).select("doc_id", "words", "at", F.lit(0).alias("seg"), at_break.alias("key"))
+        return rows.where("following is not null").select("doc_id", "words", "at", "low", F.lit(0).alias("seg"), at_break.alias("key"))
     key = lambda seg, k: F.struct(seg.alias("seg"), k.alias("key"))
     tried = []
     if BREAK in kinds:
-        tried.append(F.when(following.isNotNull(), F.array(key(F.lit(0), at_break))).otherwise(
+        tried.append(F.when(F.col("following").isNotNull(), F.array(key(F.lit(0), at_break))).otherwise(
             F.array().cast("array<struct<seg:int,key:bigint>>")))
     if LONE in kinds:
         tried.append(F.transform(_segments(F.col("word")), lambda x, i: key(i, _anchor(LONE, x, F.lit("")))))
     if PAIR in kinds:
         tried.append(let(_segments(F.col("word")), lambda seg: F.transform(
             F.slice(seg, 1, F.size(seg) - 1), lambda x, i: key(i, _anchor(PAIR, x, F.get(seg, i + 1))))))
-    return rows.select("doc_id", "words", "at", F.inline(F.concat(*tried)))
+    return rows.select("doc_id", "words", "at", "low", F.inline(F.concat(*tried)))
 
 
 def _held(met: DataFrame, offset: Column) -> DataFrame:
@@ -184,14 +189,11 @@ def scan(docs: DataFrame, entries: DataFrame, ignore_case: bool = True, counts:
     kinds, longest = keyed.agg(F.collect_set("kind"), F.max("n_words")).first()
     text = F.lower("text") if ignore_case else F.col("text")
     words = docs.select("doc_id", tx.split_spaces(text).alias("words"))
-    places = anchor_places(words, sorted(kinds) or [BREAK])
+    places = anchor_places(words, sorted(kinds) or [BREAK], longest or 1)
     if fits_broadcast(keyed):
-        return _held(places.join(F.broadcast(keyed), "key"), F.lit(0))
-    # the words around an anchor: no entry reaches farther
-    low = F.greatest(F.col("at") - (longest - 1), F.lit(0))
-    around = F.slice("words", low + 1, F.col("at") - low + longest)
+        return _held(places.join(F.broadcast(keyed), "key"), F.col("low"))
     near = may_match(places, "key", key_filter(stage(keyed.select("key").distinct(), "keys"), "key"))
-    near = stage(near.select("doc_id", "at", "seg", "key", low.alias("low"), around.alias("words")), "anchored")
+    near = stage(near.select("doc_id", "at", "seg", "key", "low", "words"), "anchored")
     rest = [c for c in keyed.columns if c != "key"]
     packed = stage(keyed.groupBy("key").agg(F.collect_list(F.struct(*rest)).alias("_entries")), "packed")
     met = lookup_join(near, packed, "key").select(*near.columns, F.inline("_entries"))
