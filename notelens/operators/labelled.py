@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelens.functions import text as tx
@@ -90,17 +90,22 @@ def without_self_named(rows: DataFrame) -> DataFrame:
     return rows.where(~F.array_contains(tx.split_spaces(F.lower("target_lf")), F.lower("sf")))
 
 
+def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``value``, worked out once: a test of a plain column moves ahead of it and works it out again."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def locate(rows: DataFrame) -> DataFrame:
     """Keep rows whose offset is a whole-word match with a space close behind; add its ordinal."""
     near = F.substring(F.col("context"), F.col("start_idx") + F.length("sf") + 1, F.lit(2))
     ordinal = occurrence_ordinal(F.col("context"), F.col("sf"), F.col("start_idx"))
-    return rows.withColumn("ordinal", ordinal).where(near.contains(" ") & F.col("ordinal").isNotNull())
+    return _once(rows.where(near.contains(" ")), ordinal, "ordinal").where("ordinal is not null")
 
 
 def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of every key, for keys with any number of copies."""
-    rest = F.struct(*rows.columns)
-    return rows.groupBy(*keys).agg(F.min_by(rest, order).alias("_row")).select("_row.*")
+    rest = F.struct(*[c for c in rows.columns if c not in keys])
+    return rows.groupBy(*keys).agg(F.min_by(rest, order).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
 
 
 def with_several_senses(rows: DataFrame) -> DataFrame:
@@ -157,9 +162,8 @@ def prepare_labelled(rows: DataFrame, senses: DataFrame, window: int = 10, black
     """From labelled sentences ``(row_idx, sf, target_lf, start_idx, context)`` to a ready example table."""
     rows = rows.na.drop(subset=["sf", "target_lf", "context"])
     rows = remap_senses(canonical_sense(without_self_named(rows), senses), SENSE_RENAMES, SENSE_BLACKLIST, SHORT_FORM_BLACKLIST)
-    tokens = locate(rows).withColumn("tokens", tx.eval_tokenize(F.col("context"), blacklist))
-    placed = tokens.withColumn("target_at", nth_position(F.col("tokens"), F.lower("sf"), F.col("ordinal"))).where(
-        F.col("target_at").isNotNull())
+    tokens = _once(locate(rows), tx.eval_tokenize(F.col("context"), blacklist), "tokens")
+    placed = _once(tokens, nth_position(F.col("tokens"), F.lower("sf"), F.col("ordinal")), "target_at").where("target_at is not null")
     cut = placed.withColumn("tokenized_context", F.array_join("tokens", " ")).withColumn(
         "trimmed_tokens", F.array_join(window_around(F.col("tokens"), F.col("target_at"), window, with_target=True), " ")
     ).drop("tokens")
