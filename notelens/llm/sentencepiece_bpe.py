@@ -130,19 +130,20 @@ class Codec:
         last = [0] * (n + 1)  # 0: the start, or a character that no piece holds and nothing merges with
         width = [1] * (n + 1)
         fits_of = self.pairs.get
-        for end, (token, size) in self.automaton.iter(text):
-            end += 1
-            if last[end]:
-                continue
-            before = last[end - size]
+        done = -1
+        for at, (token, size) in self.automaton.iter(text):
+            if at == done:
+                continue  # the token that ends here is known
+            before = last[at + 1 - size]
             if before:
                 fits = fits_of(before << 32 | token)
                 if fits is None:
                     fits = self._pair(before, token)
                 if not fits:
                     continue
-            last[end] = token
-            width[end] = size
+            done = at
+            last[at + 1] = token
+            width[at + 1] = size
         ids: list[int] = []
         end = n
         while end:
@@ -187,20 +188,17 @@ class Codec:
         if not parts:
             return b"", ""
         known, texts = self.known, self.texts
-        raw = list(map(known.get, parts))
-        if None not in raw:
-            return b"".join(raw), "".join(map(texts.__getitem__, parts))[1:]
-        read = []
-        for k, part in enumerate(parts):
-            if part not in known:
-                if len(part) > CACHED_CHARS:
-                    ids = self.segment(part)
-                    raw[k] = array("i", ids).tobytes()
-                    read.append(self._plain(ids))
-                    continue
-                self._learn(part)
-            raw[k] = known[part]
-            read.append(texts[part])
+        raw, read = list(map(known.get, parts)), list(map(texts.get, parts))
+        if None in raw:
+            for k in [k for k, ids in enumerate(raw) if ids is None]:
+                part = parts[k]
+                if part not in known:
+                    if len(part) > CACHED_CHARS:
+                        ids = self.segment(part)
+                        raw[k], read[k] = array("i", ids).tobytes(), self._plain(ids)
+                        continue
+                    self._learn(part)
+                raw[k], read[k] = known[part], texts[part]
         return b"".join(raw), "".join(read)[1:]
 
     def encode(self, text: str | None) -> list[int]:
