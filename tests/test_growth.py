@@ -74,3 +74,52 @@ def test_first_of_each_groups_the_rest_only(spark):
     rows = spark.createDataFrame([(2, "x", "k"), (1, "y", "k"), (3, "z", None)], "row_idx long, v string, k string")
     got = la.first_of_each(rows, ["k"], "row_idx")
     assert got.columns == rows.columns and sorted(map(tuple, got.collect())) == [(1, "y", "k"), (3, "z", None)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_of_short_entries_run_no_lambda_per_word(spark):
+    words = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["d"]), (3, [])], "doc_id long, words array<string>")
+    for longest in (1, 2, 3, 4, 5):
+        got = mi.anchor_places(words, [mi.LONE], longest)
+        assert ("lambda" in got._jdf.queryExecution().analyzed().toString().split("Generate")[-1]) == (longest > mi.ZIPPED)
+        near = {(r.doc_id, r["at"]): [r.words[r["at"] - r.low + k] for k in range(longest) if r["at"] - r.low + k < len(r.words)] for r in got.collect()}
+        assert sorted(near) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+        assert [w for w in near[1, 1] if w] == ["b", "c"][:longest] and near[2, 0][0] == "d"
+
+
+def test_large_dictionary_meets_places_without_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(d, " ".join(f"w{(d * 7 + i) % 40}" for i in range(30))) for d in range(20)], "doc_id long, text string")
+    senses = spark.createDataFrame([(f"w{i} w{i + 1};w{i} w{i + 2}",) for i in range(30)] + [("w3 w4 w5;w9",)], "lf string")
+    entries = scale.stage(mi.long_form_entries(senses), "entries")
+    show = lambda df: sorted((r.doc_id, r.lf, r["at"], r.n_words, r.first, r.last) for r in df.collect())
+    want = show(mi.scan(docs, entries))
+    assert len(want) > 400
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 2500)
+    parts = mi.scan(docs, entries)
+    assert show(parts) == want and "hashpartitioning" not in _plan(parts)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 200)
+    assert show(mi.scan(docs, entries)) == want
+
+
+def test_hits_carry_numbers_of_long_forms(spark, monkeypatch):
+    senses = spark.createDataFrame([("a b;c d",), ("e f",), ("a b;c d",)], "lf string")
+    entries, forms = mi.with_form_numbers(scale.stage(mi.long_form_entries(senses), "entries"))
+    assert dict(entries.dtypes)["lf"] == "bigint" and entries.count() == 3
+    assert sorted(map(tuple, forms.select("id", "lf").collect())) == [(0, "a b;c d"), (1, "e f")]
+    rows = spark.createDataFrame([(7, 1, "x"), (8, 0, "y")], "doc_id long, lf long, v string")
+    want = [(7, "e f", "x"), (8, "a b;c d", "y")]
+    assert sorted(map(tuple, mi.name_forms(rows, forms).collect())) == want
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 4)
+    named = mi.name_forms(rows, forms)
+    assert named.columns == rows.columns and sorted(map(tuple, named.collect())) == want
+
+
+def test_words_of_a_hit_are_cut_into_parts_once(spark):
+    docs = spark.createDataFrame([(1, "c", "u (a b) v")], "doc_id long, category string, text string")
+    chosen = spark.createDataFrame([(1, "a b", [(1, 1, 2, 1)])], "doc_id long, lf string, kept array<struct<at:int,first:int,n_words:int,last:int>>")
+    got = mi.word_contexts(docs, chosen)
+    assert got.select("lf_match", "context").first()[:] == ("a b", "u TARGETWORD v")
+    assert got._jdf.queryExecution().analyzed().toString().split("Join")[0].count("regexp_extract_all") <= 4
