@@ -279,13 +279,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
     names = [n for n in keep if n not in new]
     spans = repeated_spans(docs, width, gram, hot)
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    wide = docs.select(*names, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").alias("_text"))
-    wide = wide.join(spans, ["_id", "_key"], "left").select(*names, "_text", "_spans")
+    # a kept text goes to Python once
+    own = [] if "text" in names else [F.col("text").alias("_text")]
+    wide = docs.select(*names, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), *own)
+    wide = wide.join(spans, ["_id", "_key"], "left").drop("_id", "_key")
+    text_at = wide.columns.index("_text" if own else "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             n_words, n_removed, removed, kept = [], [], [], []
-            for text, found in zip(part.column(len(names)).to_pylist(), part.column(len(names) + 1).to_pylist()):
+            for text, found in zip(part.column(text_at).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
                 words = (text or "").encode().split()
                 spans = _union(found or [])
                 at, left = 0, []
