@@ -77,3 +77,38 @@ def test_small_tables(spark):
         assert ne.exact_neighbours(index, spark.createDataFrame([(1,)], "key long")).count() == 0
     two = ne.build_index(table(spark, [(1, [1, 0]), (2, [0, 2])]), "id", "v")
     assert collected(ne.neighbours(two)) == {1: [(0.0, 2)], 2: [(0.0, 1)]}
+
+
+def test_vectors_move_for_groups_of_cells(spark):
+    carried = []
+    for n in (600, 2400):
+        rng = np.random.default_rng(n)
+        index = ne.build_index(table(spark, [(i, v) for i, v in enumerate(rng.normal(size=(n, 6)))]), "id", "v", k=1)
+        visits = ne._visits(index, index.points, len(index.centroids) // 2)
+        found = ne._search(index, visits)
+        carried.append(found.count() / n)  # two finds a query and block
+        queries, points = ne._blocks(index, visits)
+        assert queries.count() <= 24 * n and points.count() <= 24 * n
+    assert carried[1] <= 1.3 * carried[0] and carried[1] <= 2 * 24
+
+
+def test_groups_of_cells(spark):
+    rng = np.random.default_rng(3)
+    centroids, sizes = rng.normal(size=(40, 4)), rng.integers(0, 30, 40)
+    sizes[7] = 500
+    groups = ne._groups(centroids, sizes, 100)
+    assert groups.shape == (40,) and sorted(set(groups.tolist())) == list(range(groups.max() + 1))
+    for group in set(groups.tolist()):
+        cells = np.flatnonzero(groups == group)
+        assert sizes[cells].sum() <= 100 or np.count_nonzero(sizes[cells]) == 1
+
+
+@pytest.mark.parametrize("block,chunk", [(65_536, 512), (50, 7)])
+def test_names_as_ids_and_small_chunks(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(ne, "BLOCK", block)
+    monkeypatch.setattr(ne, "CHUNK", chunk)
+    rows = vectors(4, 200, copies=9)
+    want = {f"n{i:05}": [(c, f"n{j:05}") for c, j in first] for i, first in plain(rows).items()}
+    df = table(spark, rows).selectExpr("format_string('n%05d', id) AS id", "v")
+    index = ne.build_index(df, "id", "v", cells=8)
+    assert collected(ne.neighbours(index, probes=8)) == want
