@@ -123,3 +123,15 @@ def test_words_of_a_hit_are_cut_into_parts_once(spark):
     got = mi.word_contexts(docs, chosen)
     assert got.select("lf_match", "context").first()[:] == ("a b", "u TARGETWORD v")
     assert got._jdf.queryExecution().analyzed().toString().split("Join")[0].count("regexp_extract_all") <= 4
+
+
+def test_cells_of_vectors_need_no_row_per_slot(spark, monkeypatch):
+    rows = [(c, m, [None if i % 5 == 4 else (c or 0) * i % 7 for i in range(n)]) for c in (1, 2, None) for m in (0, None) for n in (0, 3, 11)]
+    grams = spark.createDataFrame([*rows, *rows, (1, 0, None)], "center_id long, metadata_id long, context_ids array<long>")
+    vectors = spark.createDataFrame([(i, [i * 0.5, 1.0 - i]) for i in (0, 1, 2, 5)] + [(2, [3.0, 3.0])], "id long, vec array<double>")
+    show = lambda df: sorted((str(r[:2]), [round(x, 9) for x in r[2] + r[3]], r[4]) for r in df.collect())
+    monkeypatch.setattr(sc, "SLOTS_AT_ONCE", 4)
+    summed = sc.cell_gaussians(grams, vectors)
+    assert "Generate" not in _plan(summed)
+    monkeypatch.setattr(sc, "MATRIX_BYTES", -1)
+    assert show(summed) == show(sc.cell_gaussians(grams, vectors)) != []
