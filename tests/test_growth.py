@@ -1,5 +1,7 @@
 """What a row of an intermediate table carries, and how many tasks make many rows of few."""
 
+import hashlib
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -125,6 +127,16 @@ def test_words_of_a_hit_are_cut_into_parts_once(spark):
     assert got._jdf.queryExecution().analyzed().toString().split("Join")[0].count("regexp_extract_all") <= 4
 
 
+def test_masks_are_drawn_a_batch_at_once(spark):
+    """The draws are those of ``uniform``, without a lambda that hashes slot by slot."""
+    rows = [(5, [1, 2, None]), (None, [4, 5]), (6, None), (7, []), (8, list(range(1, 130))), (10**12, [3] * 12)]
+    given = spark.createDataFrame(rows, "gpos long, ids array<long>")
+    draw = lambda key, i: int(hashlib.md5(f"{'' if key is None else f'{key}:'}{i}:9".encode()).hexdigest()[:13], 16) / 2.0**52
+    got = given.select("gpos", ex.mask_slots(F.col("ids"), F.col("gpos"), 0.2, 9).alias("ids"))
+    assert "lambda" not in _plan(got) and "md5" not in _plan(got)
+    assert list(map(tuple, got.collect())) == [(k, x and [0 if draw(k, i) < 0.2 else y for i, y in enumerate(x)]) for k, x in rows]
+
+
 def test_cells_of_vectors_need_no_row_per_slot(spark, monkeypatch):
     rows = [(c, m, [None if i % 5 == 4 else (c or 0) * i % 7 for i in range(n)]) for c in (1, 2, None) for m in (0, None) for n in (0, 3, 11)]
     grams = spark.createDataFrame([*rows, *rows, (1, 0, None)], "center_id long, metadata_id long, context_ids array<long>")
