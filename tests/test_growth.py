@@ -147,3 +147,32 @@ def test_cells_of_vectors_need_no_row_per_slot(spark, monkeypatch):
     assert "Generate" not in _plan(summed)
     monkeypatch.setattr(sc, "MATRIX_BYTES", -1)
     assert show(summed) == show(sc.cell_gaussians(grams, vectors)) != []
+
+
+def _metadata(path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    return [pq.ParquetFile(f).metadata.row_group(0) for f in glob.glob(f"{path}/*.parquet")]
+
+
+def test_stage_tables_are_packed(spark):
+    rows = spark.range(4000).select((F.col("id") % 40).alias("doc_id"), F.col("id").alias("pos"), F.concat(F.lit("w"), F.col("id") % 7).alias("token"))
+    staged, by_doc = scale.stage(rows, "packed"), scale.stage_by(rows, "doc_id", "pos", "packed")
+    assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, by_doc.collect())) == sorted(map(tuple, rows.collect()))
+    for table, at in ((staged, None), (by_doc, 1)):
+        for group in _metadata(table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]):
+            assert {group.column(k).compression for k in range(3)} == {"ZSTD"}
+            assert at is None or group.column(at).encodings == ("DELTA_BINARY_PACKED",)
+
+
+def test_words_of_a_piece_move_as_one_text(spark):
+    from notelens.operators import vocabulary as vo
+
+    notes = spark.createDataFrame([(1, "a", "Plan Notes: one\u0001two  three.\nmore"), (1, "a", "Plan Notes: zero"), (2, None, "four"), (3, "b", None), (4, "c", "")], "doc_id long, category string, text string")
+    sections = scale.stage(spark.createDataFrame([("PLAN NOTES", 3)], "section string, count long"), "sections")
+    docs = vo.tokenize_notes(notes, sections)
+    assert "array_join(" in _plan(docs).split("hashpartitioning(doc_id")[1]  # below the exchange
+    got = {r.doc_id: r.tokens for r in docs.collect()}
+    assert got == {1: ["document=A", "header=PLANNOTES", "header=PLANNOTES", "one\u0001two", "three", "more", "zero"], 2: [None, "four"], 3: ["document=B"], 4: ["document=C"]}
