@@ -176,3 +176,18 @@ def test_words_of_a_piece_move_as_one_text(spark):
     assert "array_join(" in _plan(docs).split("hashpartitioning(doc_id")[1]  # below the exchange
     got = {r.doc_id: r.tokens for r in docs.collect()}
     assert got == {1: ["document=A", "header=PLANNOTES", "header=PLANNOTES", "one\u0001two", "three", "more", "zero"], 2: [None, "four"], 3: ["document=B"], 4: ["document=C"]}
+
+
+def test_shuffled_rows_move_without_their_draws(spark, monkeypatch):
+    rows = spark.range(3000).select(F.col("id").alias("gpos"))
+    show = lambda df: sorted(map(tuple, df.select("batch", "gpos").collect()))
+    want = show(ex.shuffled_batches(rows, ["gpos"], 64))
+    draw = lambda k: int(hashlib.md5(f"{k}:0".encode()).hexdigest()[:13], 16)
+    assert want == sorted((i // 64, k) for i, k in enumerate(sorted(range(3000), key=draw)[: 3000 // 64 * 64]))
+    monkeypatch.setattr(ex, "ROWS_PER_TASK", 200)
+    staged = []
+    monkeypatch.setattr(ex, "stage", lambda df, name: staged.append(df.columns) or scale.stage(df, name))
+    assert show(ex.shuffled_batches(rows, ["gpos"], 64)) == want and staged == [["gpos"]]
+    same = rows.select(F.lit(1).alias("gpos"), F.col("gpos").alias("other"))
+    got = [tuple(r) for r in ex.shuffled_batches(same, ["gpos"], 64).select("batch", "other").collect()]
+    assert sorted(b for b, _ in got) == sorted(i // 64 for i in range(3000 // 64 * 64)) and len({o for _, o in got}) == len(got)
