@@ -191,3 +191,12 @@ def test_shuffled_rows_move_without_their_draws(spark, monkeypatch):
     same = rows.select(F.lit(1).alias("gpos"), F.col("gpos").alias("other"))
     got = [tuple(r) for r in ex.shuffled_batches(same, ["gpos"], 64).select("batch", "other").collect()]
     assert sorted(b for b, _ in got) == sorted(i // 64 for i in range(3000 // 64 * 64)) and len({o for _, o in got}) == len(got)
+
+
+def test_texts_meet_their_hits_before_they_are_cut(spark):
+    docs = spark.createDataFrame([(1, "x", "a b c d"), (2, "y", "no")], "doc_id long, category string, text string")
+    entries = scale.stage(mi.long_form_entries(spark.createDataFrame([("b c",)], "lf string")), "entries")
+    cut = mi.word_contexts(docs, mi.choose(mi.scan(docs, entries)), 1)
+    assert [tuple(r) for r in cut.select("doc_id", "category", "lf_match", "context").collect()] == [(1, "x", "b c", "a TARGETWORD d")]
+    side = cut._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, (doc_id")[1].split("Aggregate")[0]
+    assert "text#" in side and "split(" not in side
