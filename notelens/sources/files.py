@@ -34,10 +34,10 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     return rows.na.drop(subset=["sf", "target_lf", "context"])
 
 
-def write_labelled(rows: DataFrame, path: str) -> None:
+def write_labelled(rows: DataFrame, path: str, compression: str = "none") -> None:
     """Labelled sentences in the form that ``read_labelled`` reads."""
     columns = [c.split()[0] for c in LABELLED_SCHEMA.split(", ")]
-    rows.select(*columns).write.csv(path, sep="|", header=True, quote='"', escape='"', quoteAll=True)
+    rows.select(*columns).write.csv(path, sep="|", header=True, quote='"', escape='"', quoteAll=True, compression=compression)
 
 
 def write_lines(lines: DataFrame, order: Sequence[str], path: str, files: int) -> None:

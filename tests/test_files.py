@@ -35,3 +35,17 @@ def test_a_file_is_read_in_splits(spark, tmp_path):
     finally:
         spark.conf.set(size, usual)
     assert files.read_lines(spark, path, split_bytes=65536).count() == 3000
+
+
+def test_labelled_sentences_are_packed(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(f"S{k}", 'a "long" form|of two' if k % 3 else None, k, "", f"S{k} in a\ncontext") for k in range(20)]
+    given = spark.createDataFrame(rows, "sf string, target_lf string, start_idx int, section string, context string")
+    for how, end in ((None, ".csv"), ("gzip", ".csv.gz")):
+        path = str(tmp_path / str(how))
+        files.write_labelled(given, path, how) if how else files.write_labelled(given, path)
+        assert all(f.name.endswith(end) for f in (tmp_path / str(how)).glob("part-*"))
+        got = files.read_labelled(spark, path).select("sf", "target_lf", "start_idx", "context")
+        assert sorted(map(tuple, got.collect())) == sorted((a, b, c, e) for a, b, c, _, e in rows if b)
+    assert "gzip" in entry.queries()["s02_labelled_scan"].__code__.co_consts
